@@ -73,6 +73,9 @@ def clean(c: Column) -> Column:
 def number_text(c: Column) -> Column:
     """A number with six significant digits at most, without trailing zeros."""
     size = F.when(c == 0, 0).otherwise(F.floor(F.log10(F.abs(c)))).cast("int")
+    digits = lambda x, n: F.regexp_replace(F.regexp_replace(F.round(x, n).cast("decimal(38,12)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     unit = F.pow(F.lit(10.0), F.lit(5) - size)
-    text = (F.round(c * unit) / unit).cast("string")
-    return F.when(F.isnan(c), "nan").when(c == 0, "0").otherwise(F.regexp_replace(F.regexp_replace(text, r"\.0$", ""), r"\.0E|E", "e+"))
+    fixed = digits(F.round(c * unit) / unit, 10)
+    power = F.concat(F.when(size < 0, "e-").otherwise("e+"), F.lpad(F.abs(size).cast("string"), 2, "0"))
+    scientific = F.concat(digits(c / F.pow(F.lit(10.0), size), 5), power)
+    return F.when(F.isnan(c), "nan").when(c == 0, "0").when(size.between(-5, 5), fixed).otherwise(scientific)
