@@ -251,7 +251,7 @@ def repeated_windows(pieces: list[bytes], counts: np.ndarray, order: np.ndarray,
 
 def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
     """Repeated windows of a shard as runs: ids of windows' rows, first start, count."""
-    pdf = pdf.sort_values(["doc_id", "start"], ignore_index=True)
+    pdf = pdf.drop_duplicates(["doc_id", "start"]).sort_values(["doc_id", "start"], ignore_index=True)  # rows may repeat
     piece, place = repeated_windows(list(pdf["units"]), pdf["n"].to_numpy(), np.arange(len(pdf)), WINDOW)
     return repeats.runs(pdf["doc_id"].to_numpy(), pdf["start"].to_numpy(), piece, place)
 
