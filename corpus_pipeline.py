@@ -11,15 +11,13 @@ from quillon.llm.mixing import mix
 from quillon.llm.suffix_array import suffix_dedup
 from quillon.llm.tables import Scratch, inputs
 
-#: A document whose bundle is less like the prototype of every language than this is rejected.
-LEAST_LIKENESS = 0.02
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that the corpus is known to have; null, blank and letterless texts go."""
     found = langid.predict_language(docs, langid.learn(docs))
-    clean = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LIKENESS)).select("doc_id").distinct()
+    clean = found.filter("lang_pred <> 'und'").select("doc_id").distinct()
     return docs.join(clean, "doc_id", "left_semi").select(COLUMNS)
 
 
