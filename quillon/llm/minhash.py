@@ -2,10 +2,10 @@
 
 Each document's shingle hashes fall into bins by one permutation; a bin's sketch is its least hash, and an empty bin
 borrows from a bin that a hash of its own number picks. Bands of bins name buckets. Documents of equal shingle sets are one
-class, of which only the representative goes on. In a bucket only edges between a centre and the members beyond it are
-candidates, and only while they are not connected already; every candidate is confirmed on the full sets. While a bucket
-still holds several components, more centres follow, twice as many each round, so that no pair is lost and none is
-compared whose answer is known.
+class, of which only the representative goes on. In a bucket only edges between a centre, the member that shares most
+buckets with most others, and the other members are candidates; every candidate is confirmed on the full sets. Members of
+buckets that still hold several components meet again in finer buckets, by their rarest shingles, in which more centres
+follow, several times as many each round, so that no pair is lost and none is compared whose answer is known.
 """
 
 from __future__ import annotations
@@ -129,6 +129,41 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components") ->
             return labels
 
 
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked) of candidate pairs, decided on full sets. Pairs of a frequent ``a`` are dealt over several tasks, each
+    with a copy of its set: at most 1,000 documents have over a thousandth of the pairs, so their table is broadcast."""
+    most = max(256, pairs.count() // 1000)
+    heavy = F.broadcast(pairs.groupBy("a").agg(F.ceil(F.count("b") / most).cast("int").alias("parts")).filter("parts > 1"))
+    parts = F.coalesce("parts", F.lit(1))
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")).join(heavy, "a", "left").select("a", "x", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    dealt = pairs.join(heavy, "a", "left").select("a", "b", F.pmod(F.hash("b"), parts).alias("part"))
+    common = F.size(F.array_intersect("x", "y"))
+    return (
+        dealt.join(left, ["a", "part"])
+        .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+        .select("a", "b", (common * 100 >= (F.size("x") + F.size("y") - common) * percent).alias("linked"))
+    )
+
+
+def prefixes(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Finer buckets for the members of buckets that still hold several components, by an exact prefix filter.
+
+    A link of sizes n and m shares ``percent / (100 + percent)`` of n + m shingles, where m is at least the size of the
+    smallest document in n's buckets. With all shingles in one order, rare ones first, two linked documents so share one of
+    the first ``n - shared + 1`` of each; those name the new buckets. A document whose first shingles are its own alone has
+    no link and goes. Shingles are counted by sums, so that frequent ones cost no more than others.
+    """
+    now = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed_ = now.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("n").alias("lo")).filter("least < most").select("bucket", "lo")
+    members = buckets.join(mixed_, "bucket").groupBy("doc_id", "n", "score").agg(F.min("lo").alias("lo"))
+    other = F.greatest(F.col("lo") * 100, F.col("n") * percent)  # hundredths of the size of the smallest document that fits
+    members = members.withColumn("first", F.col("n") + 1 - F.ceil((F.col("n") * 100 + other) * percent / ((100 + percent) * 100) - 1e-6))
+    shingles = sets.join(members, "doc_id").select("doc_id", "n", "score", "first", F.explode("shingles").alias("bucket"))
+    counts = shingles.groupBy("bucket").agg(F.count("n").alias("held"))
+    ordered = shingles.join(counts, "bucket").withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("held", "bucket")))
+    return ordered.filter("place <= first and held > 1").select("bucket", "doc_id", "n", "score")
+
+
 def minhash_dedup(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Links documents whose shingle sets have ``100 * intersection >= percent * union`` and returns their components.
 
@@ -142,38 +177,39 @@ def minhash_dedup(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands
     sketches = scratch.keep(docs.mapInArrow(lambda it: _sketched(it, shingle, bands, rows), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "sketches")
     classes = scratch.keep(sketches.filter("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "classes")
     every = classes.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    centres = every.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.count("n").alias("members")).filter("members > 1").select("bucket", "centre")
-    buckets = scratch.keep(every.join(centres, "bucket"), "buckets")
-    scratch.free()
+    crowds = every.groupBy("bucket").agg(F.count("n").alias("members")).filter("members > 1")
+    shared = scratch.keep(every.join(crowds, "bucket"), "shared")
+    # a document whose bins are its neighbours' too is a likely centre of all of them
+    score = shared.groupBy("doc_id").agg(F.sum("members").alias("score"))
+    buckets = scratch.keep(shared.join(score, "doc_id").select("bucket", "doc_id", "n", "score"), "buckets")
+    scratch.drop("shared")
     sets = scratch.keep(docs.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, shingle), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
     scratch.free()
-    sizes = classes.select(F.col("doc_id").alias("centre"), F.col("n_shingles").alias("m"))
     fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-    pairs = buckets.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"), "n").distinct().join(sizes.withColumnRenamed("centre", "a"), "a").filter(fits).select("a", "b")
-    labels, seen, done, step = None, None, 1, 0
+    centres = buckets.groupBy("bucket").agg(F.max(F.struct("score", -F.col("doc_id"), "n")).alias("x")).select("bucket", (-F.col("x.col2")).alias("a"), F.col("x.n").alias("m"))
+    pairs = buckets.join(centres, "bucket").filter((F.col("doc_id") != F.col("a")) & fits).select("a", F.col("doc_id").alias("b")).distinct()
+    pairs = scratch.keep(pairs, "pairs-0")
+    labels, seen, done, step = None, None, 0, 0
     while True:
         step += 1
-        common = F.size(F.array_intersect("x", "y"))
-        checked = (
-            pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-            .select("a", "b", (common * 100 >= (F.size("x") + F.size("y") - common) * percent).alias("linked"))
-        )
+        checked = confirmed(pairs, sets, percent)
         checked = scratch.keep(checked, f"checked-{step}")
         scratch.free()
         seen = checked if seen is None else seen.unionByName(checked)
         if labels is None or checked.filter("linked").limit(1).count():
             labels = components(seen.filter("linked").select("a", "b"), scratch, f"components-{step}")
+        if step == 1:
+            buckets = scratch.keep(prefixes(buckets, labels, sets, percent), "prefixes")
         # the next centres of buckets that still hold several components
         while True:
             now = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
             open_ = now.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("n").alias("members")).filter(f"least < most and members > {done + 1}").select("bucket")
-            ranked = scratch.keep(now.join(open_, "bucket", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id"))), f"ranked-{step}-{done}")
+            ranked = scratch.keep(now.join(open_, "bucket", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("score"), "doc_id"))), f"ranked-{step}-{done}")
             most = ranked.agg(F.max("rank")).first()[0] or 0
             if most <= done + 1:
                 pairs = None
                 break
-            last, done = done, 4 * done + 4
+            last, done = done, 16 * done + 16
             ahead = ranked.filter((F.col("rank") > last) & (F.col("rank") <= done)).select("bucket", F.col("doc_id").alias("a"), F.col("rank").alias("from"), F.col("component").alias("ca"), F.col("n").alias("m"))
             pairs = ranked.join(ahead, "bucket").filter((F.col("rank") > F.col("from")) & (F.col("component") != F.col("ca")) & fits).select("a", F.col("doc_id").alias("b")).distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
             pairs = scratch.keep(pairs, f"pairs-{step}-{done}")
@@ -181,7 +217,7 @@ def minhash_dedup(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands
                 break
         if pairs is None:
             break
-    scratch.drop("sets", "buckets")
+    scratch.drop("sets", "buckets", "prefixes")
     named = classes.select("k1", "k2", "n_shingles", F.col("doc_id").alias("node")).join(labels, "node", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
