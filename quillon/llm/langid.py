@@ -127,7 +127,8 @@ def learn(docs: DataFrame, *, sample: int = SAMPLE) -> tuple[list[str], np.ndarr
     chosen by a hash of doc_id, are bundled."""
     docs = docs.filter("lang is not null and length(text) > 0").select("doc_id", "text", "lang")
     share = docs.groupBy("lang").agg((F.lit(float(sample)) / F.count("lang")).alias("share"))
-    chosen = docs.join(share, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    # a row for each language, as the model has; so only the sample is dealt by language, not every text
+    chosen = docs.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
     rows = chosen.groupBy("lang").applyInPandas(lambda pdf: pd.DataFrame({"lang": pdf["lang"][:1], "bundle": [bundled(pdf.sort_values(["doc_id", "text"])["text"].tolist()).tolist()]}), "lang string, bundle array<double>").collect()
     rows.sort(key=lambda r: r.lang)
     table = np.array([r.bundle for r in rows], np.float32).reshape(-1, DIM)
