@@ -353,6 +353,7 @@ def summary(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             yield batch(schema, *out)
 
     rows = encoded.select("doc_id", "text", "key", "chunk", "ids").mapInArrow(run, "doc_id long, key long, chunk long, n_chars long, n_tokens long, ids_sha string, begin long, exact boolean")
+    rows = Scratch(encoded.sparkSession, "sentencepiece-summary").keep(rows, "rows")  # both sides below read it: digests, no texts
     one = rows.filter("key = 0").select("doc_id", "n_chars", "n_tokens", F.col("ids_sha").alias("ids_sha256"), "exact")
     many = rows.filter("key <> 0").groupBy("doc_id", "key").agg(F.sum("n_chars").alias("n_chars"), F.sum("n_tokens").alias("n_tokens"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ids_sha"))), lambda x: x.ids_sha), "").alias("all"), (F.min("exact") & (F.sum("begin") == F.sum("n_chars"))).alias("exact"))
     return one.unionByName(many.select("doc_id", "n_chars", "n_tokens", F.sha2("all", 256).alias("ids_sha256"), "exact"))
