@@ -150,6 +150,13 @@ def test_sentencepiece(docs, rows):
             assert v.decode(ids) == (t or "") and score(ids) == score(whole)
 
 
+def test_sentencepiece_repeated_rows(docs):
+    """A row that occurs twice is encoded twice, at any length."""
+    for chunk in (64, 100_000):
+        once, twice = (sorted(tuple(r) for r in sentencepiece_scan.summary(sentencepiece_scan.encode(d, chunk=chunk)).collect()) for d in (docs, docs.union(docs)))
+        assert twice == sorted(once + once)
+
+
 def test_sentencepiece_against_library():
     """The library segments alike once its model says that it is a unigram model."""
     import sentencepiece

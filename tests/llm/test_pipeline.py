@@ -22,3 +22,10 @@ def test_stages_keep_columns(spark, sf):
     odd = spark.createDataFrame([(10**6, None, "en", "s", 0), (10**6 + 1, "123 !!", "en", "s", 6)], docs.schema)
     first = corpus_pipeline.identify_language(spark, docs.unionByName(odd), sf)
     assert first.columns == corpus_pipeline.COLUMNS and first.count() == docs.count()
+
+
+def test_giants_taken_twice(spark, sf):
+    """Both copies of a document that the mix takes twice are encoded, whether short or giant."""
+    docs = spark.createDataFrame([(1, "ab cd " * 20, "en", "s", 120), (2, "ab cd " * 8000, "en", "s", 48000)], ", ".join(("doc_id long", "text string", "lang string", "source string", "n_chars long")))
+    got = [(r.doc_id, r.n_chars) for r in corpus_pipeline.encode_pieces(spark, docs.union(docs), sf).collect()]
+    assert sorted(got) == [(1, 120)] * 2 + [(2, 48000 - sentencepiece_scan.CHUNK)] * 2 + [(2, sentencepiece_scan.CHUNK)] * 2
