@@ -462,7 +462,16 @@ def json_type(spark, sf):
 
 @query("SELECT l_orderkey AS k, max(l_quantity) AS most FROM lineitem WHERE l_orderkey<500 GROUP BY 1")
 def json_path_max(spark, sf):
-    docs = table(spark, sf, "lineitem").filter("l_orderkey < 500").groupBy(F.col("l_orderkey").alias("k")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("l_quantity").alias("q"))).alias("lines"))).alias("doc"))
+    return _most(table(spark, sf, "lineitem").filter("l_orderkey < 500"))
+
+
+@query("SELECT l_orderkey AS k, max(l_quantity) AS most FROM lineitem GROUP BY 1")
+def json_path_max_all(spark, sf):
+    return _most(table(spark, sf, "lineitem"))
+
+
+def _most(lines):
+    docs = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("l_quantity").alias("q"))).alias("lines"))).alias("doc"))
     return docs.select("k", F.get_json_object(jsonpath.get(F.col("doc"), "max($..q)"), "$").cast("double").alias("most"))
 
 

@@ -26,3 +26,8 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_json_path_max_of_all_orders(spark, sf):
+    keys = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert QUERIES["json_path_max_all"](spark, sf).count() == keys
