@@ -490,8 +490,17 @@ def geo_search(spark, sf):
 
 @query(f"SELECT c_custkey, round(lon,4) AS lon, round(lat,4) AS lat FROM {_GEO} WHERE abs(lat)<85")
 def geo_position(spark, sf):
+    return _there_and_back(_points(spark, sf).filter("abs(p.lat) < 85"))
+
+
+@query(f"SELECT c_custkey, round(lon,4) AS lon, round(lat,4) AS lat FROM {_GEO}")
+def geo_position_all(spark, sf):
+    return _there_and_back(_points(spark, sf))
+
+
+def _there_and_back(points):
     back = geo.position(geo.geohash52(F.col("p")))
-    return _points(spark, sf).filter("abs(p.lat) < 85").select("c_custkey", back.alias("q")).select("c_custkey", (F.round("q.lon", 4) + 0.0).alias("lon"), (F.round("q.lat", 4) + 0.0).alias("lat"))
+    return points.select("c_custkey", back.alias("q")).select("c_custkey", (F.round("q.lon", 4) + 0.0).alias("lon"), (F.round("q.lat", 4) + 0.0).alias("lat"))
 
 
 def _bits_of(spark, sf):

@@ -31,3 +31,8 @@ def test_entry(spark):
 def test_json_path_max_of_all_orders(spark, sf):
     keys = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().count()
     assert QUERIES["json_path_max_all"](spark, sf).count() == keys
+
+
+def test_geo_position_of_all_customers(spark, sf):
+    got = QUERIES["geo_position_all"](spark, sf)
+    assert got.count() == spark.read.parquet(f"{sf}/customer.parquet").count() and got.filter("lat = -85").count() > 0
