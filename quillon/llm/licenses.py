@@ -1,10 +1,11 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact containment verifies them.
 
 All in DataFrame expressions. A window holds five consecutive shingles of five words, and the next begins five words on,
-so that each shingle is in one window and windows overlap by four words. Templates are cut into windows at every word, and
-a template of fewer shingles is a window as a whole. A template of 13 words or more holds, wherever it stands, a whole
-window of the text that equals one of its own; of a shorter one, some window has one shingle in five at least. 32 bands of
-one row then retrieve it with a chance of 1 - 0.8 ** 32 = 0.9992 at the least.
+so that each shingle is in one window and windows overlap by four words. Templates are cut into windows at every word. A
+template of 13 words or more holds, wherever it stands, a whole window of the text that equals one of its own. One of five
+shingles or more that a text has four fifths of shares four shingles with the text's windows at least; at worst each is in
+a window of its own and one in nine of both windows' shingles, so that 32 bands of one row miss all four with a chance of
+about (8 / 9) ** 128 = 3e-7. Templates of fewer shingles are retrieved by their shingles themselves, and never missed.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ TEMPLATES = {
 
 
 def seeds(bands: int = BANDS) -> list[int]:
-    """The permutations: each xors a hash with a fixed random number."""
+    """The permutations: each hashes a shingle's hash anew, with a fixed random number."""
     out, x = [], 0x243F6A8885A308D3
     for _ in range(bands):
         x = (x * 6364136223846793005 + 1442695040888963407) & _MASK
@@ -46,22 +47,26 @@ def words(text: Column) -> Column:
 
 def window_bands(h: Column, step: int, bands: int = BANDS) -> Column:
     """The bands of all windows over shingle hashes, one after the other: the least hash under each permutation. The last
-    window may be short; a least value tells its permutation by its bits."""
+    window may be short. Under a xor in place of a hash, a few top bits would say which shingle is least."""
     # ``h`` must be a lambda's variable, so that no expression is evaluated for each window
     windows = F.floor((F.size(h) - 1) / step).cast("int") if step > 1 else F.greatest(F.size(h) - SPAN, F.lit(0))
 
     def of(i: Column) -> Column:
-        parts = [F.get(h, i * step + k) for k in range(SPAN)]
-        return F.array(*(F.least(*(p.bitwiseXOR(F.lit(s)) for p in parts)) for s in seeds(bands)))
+        return let(F.slice(h, i * step + 1, SPAN), lambda w: F.array(*(least(w, s) for s in seeds(bands))))
+
+    def least(w: Column, seed: int) -> Column:
+        return F.array_min(F.transform(w, lambda p: F.xxhash64(p, F.lit(seed))))
 
     return F.when(F.size(h) > 0, F.flatten(F.transform(F.sequence(F.lit(0), windows), of))).otherwise(F.array().cast("array<long>"))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """(license, shingles, bands) of templates; those under five words are one shingle and found in equal texts only."""
+    """(license, shingles, bands) of templates; those under five words are one shingle and found in equal texts only. A
+    template of fewer than ``SPAN`` shingles has these for bands."""
     table = spark.createDataFrame(sorted(templates.items()), "license string, body string")
     table = table.select("license", shingle_hashes(words(F.col("body")), SHINGLE).alias("h"))
-    return table.select("license", F.array_distinct("h").alias("shingles"), F.array_distinct(let(F.col("h"), lambda h: window_bands(h, 1))).alias("bands")).filter(F.size("shingles") > 0)
+    table = table.select("license", F.array_distinct("h").alias("shingles"), F.array_distinct(let(F.col("h"), lambda h: window_bands(h, 1))).alias("bands")).filter(F.size("shingles") > 0)
+    return table.withColumn("bands", F.when(F.size("shingles") < SPAN, F.col("shingles")).otherwise(F.col("bands")))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, *, percent: int = PERCENT) -> DataFrame:
@@ -77,10 +82,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, *, per
     bands, shingles = (constants(x for r in table for x in r[k]) for k in ("bands", "shingles"))
 
     def kept(h: Column) -> Column:
-        return F.struct(F.array_intersect(window_bands(h, SPAN), bands).alias("bands"), F.array_intersect(h, shingles).alias("own"))
+        own = F.array_intersect(h, shingles)
+        return let(own, lambda own: F.struct(F.array_union(F.array_intersect(window_bands(h, SPAN), bands), F.array_intersect(own, bands)).alias("bands"), own.alias("own")))
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), let(shingle_hashes(words(F.col("text")), SHINGLE), kept).alias("found"))
-    # only documents that share a band go on, with their template shingles alone
+    # only documents that share a band or a short template's shingle go on, with their template shingles alone
     found = found.select("doc_id", F.explode("found.bands").alias("band"), F.col("found.own").alias("own"))
     pairs = found.join(F.broadcast(by_band), "band").dropDuplicates(["doc_id", "license", "own"])
     pairs = pairs.select("doc_id", "license", F.size(F.array_intersect("shingles", "own")).cast("long").alias("shared"), F.size("shingles").alias("n"))

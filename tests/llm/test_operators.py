@@ -242,3 +242,22 @@ def test_licenses(spark):
 
     want = {(i, n): len(s & shingles(t)) for i, t in rows for n, body in licenses.TEMPLATES.items() if (s := shingles(body)) and 5 * len(s & shingles(t)) >= 4 * len(s)}
     assert got == want
+
+
+def test_short_licenses_are_never_missed(spark):
+    """Templates of one to four shingles amid full windows of other words."""
+    rng = random.Random(3)
+    body = {f"t{k}": " ".join(f"w{rng.randrange(10**9)}" for _ in range(5 + k % 4)) for k in range(240)}
+    words = lambda n: " ".join(f"x{rng.randrange(10**9)}" for _ in range(n))
+    rows = [(k, f"{words(20 + k % 5)} {t} {words(20)}") for k, t in enumerate(body.values())]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), body).collect()
+    assert sorted((r.doc_id, r.license, r.containment) for r in got) == sorted((k, n, 1.0) for k, n in enumerate(body))
+
+
+def test_license_bands_are_min_wise(spark):
+    """Nearly every shingle of a window of five is the least under some permutation."""
+    h = spark.range(2000).select(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.xxhash64("id", k)).alias("h"))
+    own = h.select(F.explode("h").alias("one"), licenses.let(F.col("h"), lambda x: licenses.window_bands(x, 5)).alias("all"))
+    alone = licenses.let(F.array("one"), lambda x: licenses.window_bands(x, 5))
+    missed = own.filter(F.size(F.array_intersect(alone, "all")) == 0).count() / 10_000
+    assert missed < 0.003  # 0.8 ** 32 = 0.0008
