@@ -229,7 +229,7 @@ def boundary_states(matrices: np.ndarray) -> list[int]:
     return [0, *states[::-1]]
 
 
-_IDS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("key", pa.int64()), ("copy", pa.int64()), ("chunk", pa.int64()), ("ids", pa.binary())])
+_IDS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("key", pa.int64()), ("copy", pa.int64()), ("chunk", pa.int64()), ("ids", pa.binary()), ("enter", pa.int64()), ("past", pa.string())])
 _CHUNKS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("chunk", pa.int64()), ("body", pa.string()), ("ahead", pa.string())])
 
 
@@ -250,13 +250,14 @@ def _ready(chunk: int, body: str, ahead: str) -> tuple[str, str]:
 
 
 def encode(docs: DataFrame, model: str = MODEL, *, chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, text, key, copy, chunk, ids) with ids as 32-bit little-endian integers, for rows of ``docs``.
+    """(doc_id, text, key, copy, chunk, ids, enter, past) with ids as 32-bit little-endian integers, for rows of ``docs``.
 
     Texts up to ``chunk`` characters are one row with their text; longer ones are a row for each chunk of as many
     characters, so that no task holds one whole. The chunks of one document are told from those of another of the same id
     by a hash of the text (``key``). Equal rows of giant documents are encoded once and returned as often as they occur,
-    told apart by ``copy`` (from 1; 1 for all short texts, of which each row is one of its own). Null and empty texts have no
-    ids. The vocabulary's scores are those of ``model``, a file that the driver reads. Other columns are ignored.
+    told apart by ``copy`` (from 1; 1 for all short texts, of which each row is one of its own). A chunk's ids begin after
+    ``enter`` characters, which the chunk before covers, and end with ``past``, the first characters of the next. Null and
+    empty texts have no ids. The vocabulary's scores are those of ``model``, a file that the driver reads. Other columns are ignored.
     """
     spark = docs.sparkSession
     with open(model, "rb") as f:
@@ -274,7 +275,7 @@ def encode(docs: DataFrame, model: str = MODEL, *, chunk: int = CHUNK) -> DataFr
             n = 0
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = v.encode(prepared(text))
-                for c, x in zip(out, (doc_id, text, 0, 1, 0, ids), strict=True):
+                for c, x in zip(out, (doc_id, text, 0, 1, 0, ids, 0, ""), strict=True):
                     c.append(x)
                 n += len(ids)
                 if n > 1 << 22:
@@ -297,9 +298,9 @@ def encode(docs: DataFrame, model: str = MODEL, *, chunk: int = CHUNK) -> DataFr
         v = vocabulary(shared.value)
         for b in batches:
             for doc_id, key, copies, k, body, ahead, enter, leave in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                yield batch(_IDS, [doc_id], [body], [key], [copies], [k], [v.trace(*_ready(k, body, ahead), enter, leave)])
+                yield batch(_IDS, [doc_id], [body], [key], [copies], [k], [v.trace(*_ready(k, body, ahead), enter, leave)], [enter], [ahead[:leave]])
 
-    schema = "doc_id long, text string, key long, copy long, chunk long, ids binary"
+    schema = "doc_id long, text string, key long, copy long, chunk long, ids binary, enter long, past string"
     chunks = docs.filter(long_).select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(lambda it: _chunked(it, chunk, longest - 1), "doc_id long, key long, chunk long, body string, ahead string")
     chunks = scratch.keep(chunks.groupBy("doc_id", "key", "chunk").agg(F.first("body").alias("body"), F.first("ahead").alias("ahead"), F.count(F.lit(1)).alias("copies")), "chunks")
     matrices = chunks.select("doc_id", "key", "chunk", "body", "ahead").mapInArrow(transfers, "doc_id long, key long, chunk long, matrix binary")
@@ -332,30 +333,31 @@ _TOKENS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("chunk", pa.i
 
 
 def summary(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """One row for each row that was encoded: doc_id, n_chars, n_tokens, ids_sha256 (over the digests of its chunks), decoded_sha256
-    (over those of the decoded chunks), and exact: whether decoding gives back the encoded text."""
+    """One row for each row that was encoded: doc_id, n_chars, n_tokens, ids_sha256 (over the digests of its chunks), and
+    exact: whether decoding gives back the encoded text, of which every character is compared in the chunk that covers it."""
     with open(model, "rb") as f:
         shared = encoded.sparkSession.sparkContext.broadcast(f.read())
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("copy", pa.int64()), ("chunk", pa.int64()), ("n_chars", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha", pa.string()), ("begin", pa.int64()), ("exact", pa.bool_())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("copy", pa.int64()), ("chunk", pa.int64()), ("n_chars", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha", pa.string()), ("enter", pa.int64()), ("leave", pa.int64()), ("exact", pa.bool_())])
 
     def run(batches):
         v = vocabulary(shared.value)
         for b in batches:
             out: list[list] = [[] for _ in schema]
-            for doc_id, text, key, copy, k, ids in zip(*(b.column(c).to_pylist() for c in range(5)), b.column(5), strict=True):
+            for doc_id, text, key, copy, k, enter, past, ids in zip(*(b.column(c).to_pylist() for c in range(7)), b.column(7), strict=True):
                 raw = ids.as_buffer().to_pybytes()
                 own = np.frombuffer(raw, np.int32)
                 text = text or ""
                 back = v.decode(own if k == 0 else np.append(v.score[SPACE][1], own))
-                # a chunk's first and last pieces may belong to its neighbours' characters: what both have must agree
-                cut = max(0, v.longest) if key else 0
-                exact = back == text if not key else text[cut : len(text) - cut] in back
-                for c, x in zip(out, (doc_id, key, copy, k, len(text), len(own), hashlib.sha256(raw).hexdigest(), len(back), exact), strict=True):
+                exact = back == text[enter:] + past
+                for c, x in zip(out, (doc_id, key, copy, k, len(text), len(own), hashlib.sha256(raw).hexdigest(), enter, len(past), exact), strict=True):
                     c.append(x)
             yield batch(schema, *out)
 
-    rows = encoded.select("doc_id", "text", "key", "copy", "chunk", "ids").mapInArrow(run, "doc_id long, key long, copy long, chunk long, n_chars long, n_tokens long, ids_sha string, begin long, exact boolean")
+    rows = encoded.select("doc_id", "text", "key", "copy", "chunk", "enter", "past", "ids").mapInArrow(run, "doc_id long, key long, copy long, chunk long, n_chars long, n_tokens long, ids_sha string, enter long, leave long, exact boolean")
     rows = Scratch(encoded.sparkSession, "sentencepiece-summary").keep(rows, "rows")  # both sides below read it: digests, no texts
     one = rows.filter("key = 0").select("doc_id", "n_chars", "n_tokens", F.col("ids_sha").alias("ids_sha256"), "exact")
-    many = rows.filter("key <> 0").groupBy("doc_id", "key", "copy").agg(F.sum("n_chars").alias("n_chars"), F.sum("n_tokens").alias("n_tokens"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ids_sha"))), lambda x: x.ids_sha), "").alias("all"), (F.min("exact") & (F.sum("begin") == F.sum("n_chars"))).alias("exact"))
+    # each chunk begins where the one before ends, the first at 0, and the last goes on to nowhere
+    order = F.sort_array(F.collect_list(F.struct("chunk", "enter", "leave")))
+    met = F.concat(F.array(F.lit(0).cast("long")), order.getField("leave")) == F.concat(order.getField("enter"), F.array(F.lit(0).cast("long")))
+    many = rows.filter("key <> 0").groupBy("doc_id", "key", "copy").agg(F.sum("n_chars").alias("n_chars"), F.sum("n_tokens").alias("n_tokens"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ids_sha"))), lambda x: x.ids_sha), "").alias("all"), (F.min("exact") & met).alias("exact"))
     return one.unionByName(many.select("doc_id", "n_chars", "n_tokens", F.sha2("all", 256).alias("ids_sha256"), "exact"))

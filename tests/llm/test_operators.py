@@ -157,6 +157,23 @@ def test_sentencepiece_repeated_rows(docs):
         assert twice == sorted(once + once)
 
 
+def test_sentencepiece_exact_sees_every_character(spark):
+    """One wrong piece of the right length, first or last in a chunk, is not exact."""
+    docs = spark.createDataFrame([(1, PROSE[3])], "doc_id long, text string")
+    enc = sentencepiece_scan.encode(docs, chunk=64)
+    rows, v = enc.collect(), sentencepiece_scan.Vocabulary(open(sentencepiece_scan.MODEL, "rb").read())
+    assert len(rows) > 5
+    for at in (0, -1):
+        changed = []
+        for r in rows:
+            ids = np.frombuffer(r.ids, np.int32).copy()
+            if r.chunk == 2:  # another piece of as many characters
+                piece = v.pieces[ids[at]]
+                ids[at] = next(k for p, (_, k) in v.score.items() if len(p) == len(piece) and p != piece and (p[0] == sentencepiece_scan.SPACE) == (piece[0] == sentencepiece_scan.SPACE))
+            changed.append((*(ids.tobytes() if n == "ids" else r[n] for n in enc.columns),))
+        assert not sentencepiece_scan.summary(spark.createDataFrame(changed, enc.schema)).first().exact
+
+
 def test_sentencepiece_against_library():
     """The library segments alike once its model says that it is a unigram model."""
     import sentencepiece
