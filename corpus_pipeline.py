@@ -15,8 +15,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the corpus is known to have; null, blank and letterless texts go."""
-    found = langid.predict_language(docs, langid.learn(docs))
+    """Null, blank and letterless texts go. All others are closest to some language that the corpus has and stay, as they do
+    where the corpus names no language."""
+    model = langid.learn(docs)
+    if not model[0]:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).select(COLUMNS)
+    found = langid.predict_language(docs, model)
     clean = found.filter("lang_pred <> 'und'").select("doc_id").distinct()
     return docs.join(clean, "doc_id", "left_semi").select(COLUMNS)
 

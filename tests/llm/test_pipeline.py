@@ -29,3 +29,9 @@ def test_giants_taken_twice(spark, sf):
     docs = spark.createDataFrame([(1, "ab cd " * 20, "en", "s", 120), (2, "ab cd " * 8000, "en", "s", 48000)], ", ".join(("doc_id long", "text string", "lang string", "source string", "n_chars long")))
     got = [(r.doc_id, r.n_chars) for r in corpus_pipeline.encode_pieces(spark, docs.union(docs), sf).collect()]
     assert sorted(got) == [(1, 120)] * 2 + [(2, 48000 - sentencepiece_scan.CHUNK)] * 2 + [(2, sentencepiece_scan.CHUNK)] * 2
+
+
+def test_no_language_known(spark, sf):
+    """A corpus without a single lang keeps its documents with letters."""
+    docs = spark.createDataFrame([(1, "ab cd", None, "s", 5), (2, "12 !", None, "s", 4), (3, None, None, "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.identify_language(spark, docs, sf).collect()] == [1]
