@@ -154,7 +154,6 @@ class Plan:
             .select("anchor", "content", "first", "kinds")
         )
         groups = self.scratch.keep(groups, "groups")
-        self.scratch.free()
         every = self.docs.mapInArrow(lambda it: _marked(it, kind, window, gram), "anchor long, content long, doc_id long, loc long")
         gone = F.col("doc_id") > F.col("first")
         if self.within:

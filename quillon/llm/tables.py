@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -10,11 +9,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting by which the shuffle files of a query go when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary folder will do as
+    long as all run on one machine; a cluster must name a shared one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -23,29 +29,33 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder to cut lineage; a lost executor costs a reread, not a rerun.
 
-    ``keep`` writes a DataFrame and reads it back. ``drop`` deletes tables that no later plan reads and lets Spark
-    free the shuffle files of plans that are no longer referenced.
+    ``keep`` writes a DataFrame and reads it back; the shuffle files of the write go when it ends. ``drop`` deletes tables
+    that no later plan reads. What a returned, lazy DataFrame still reads is deleted when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self._files(self.root, lambda fs, path: fs.mkdirs(path) and fs.deleteOnExit(path))
+
+    def _files(self, path: str, use) -> None:
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        use(at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.paths[name] = path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        was = self.spark.conf.get(_CLEANUP)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, was)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        self.free()
-
-    def free(self) -> None:
-        gc.collect()
-        self.spark._jvm.System.gc()
+            self._files(self.paths.pop(name), lambda fs, path: fs.delete(path, True))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
