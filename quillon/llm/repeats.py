@@ -115,16 +115,19 @@ def _pieces(batches, kind: str, window: int, hot: int, schema: pa.Schema):
         size = 0
         for i, doc_id in enumerate(b.column(0).to_pylist()):
             text = data[offsets[i] : offsets[i + 1]]
-            values, _ = units(text, np.array([0, len(text)]), kind)
-            whole = None
+            whole, begin, end = None, None, None
+            if kind != "bytes":
+                begin, end, _ = words(text, np.array([0, len(text)]))
             for x in b.column(2)[i].as_py():
                 start, n = x["loc"] >> 9, (x["loc"] >> 1) & 255
                 if x["kinds"] <= hot:
-                    out_row = (x["anchor"], 0, doc_id, start, n, (text[start : start + n - 1 + window].tobytes() if kind == "bytes" else values[start : start + n - 1 + window].view(np.int64)))
-                    for c, v in zip(out, out_row, strict=True):
+                    last = start + n - 2 + window
+                    own = text[start : last + 1] if kind == "bytes" else text[begin[start] : end[last]]
+                    for c, v in zip(out, (x["anchor"], 0, doc_id, start, n, own.tobytes()), strict=True):
                         c.append(v)
                 else:
-                    whole = grams(values, window).view(np.int64) if whole is None else whole
+                    if whole is None:
+                        whole = grams(units(text, np.array([0, len(text)]), kind)[0], window).view(np.int64)
                     for s in range(start, start + n):
                         for c, v in zip(out, (x["anchor"], int(whole[s]), doc_id, s, 0, None), strict=True):
                             c.append(v)
@@ -175,19 +178,19 @@ class Plan:
         open_ = marks.filter("anchor is not null")
         total = open_.agg(F.sum(F.shiftright("loc", 1).bitwiseAND(255) + (window - 1))).first()[0] or 0
         shards = max(1, -(-int(total) // shard_units))
-        type_, arrow = ("binary", pa.binary()) if kind == "bytes" else ("array<long>", pa.list_(pa.int64()))
-        schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("units", arrow)])
+        schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("text", pa.binary())])
         pieces = (
             self.docs.join(open_.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "loc", "kinds")).alias("open")), "doc_id")
             .select("doc_id", "text", "open")
-            .mapInArrow(lambda it: _pieces(it, kind, window, hot, schema), f"anchor long, content long, doc_id long, start long, n long, units {type_}")
+            .mapInArrow(lambda it: _pieces(it, kind, window, hot, schema), "anchor long, content long, doc_id long, start long, n long, text binary")
         )
         pieces = self.scratch.keep(pieces, "pieces")
         cold = pieces.filter("n > 0").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(lambda pdf: shard(pdf), "doc_id long, loc long")
+        # windows by themselves: all but the first go, which is taken out without dealing them by what they share
         alone = pieces.filter("n = 0")
-        place = F.struct("doc_id", "start") if self.within else F.col("doc_id")
-        first = alone.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.count("start").alias("copies")).filter("copies > 1")
-        warm = alone.join(first, ["anchor", "content"]).filter(place > F.col("first")).select("doc_id", pack_column(F.col("start")).alias("loc"))
+        place = ["doc_id", "start"] if self.within else ["doc_id"]
+        first = alone.groupBy("anchor", "content").agg(F.min(F.struct(*place)).alias("first")).select("anchor", "content", "first.*")
+        warm = alone.join(first, ["anchor", "content", *place], "left_anti").select("doc_id", pack_column(F.col("start")).alias("loc"))
         gone = self.scratch.keep(marks.filter("anchor is null").select("doc_id", "loc").unionByName(cold).unionByName(warm), "gone")
         self.scratch.drop("marks", "pieces")
         return gone

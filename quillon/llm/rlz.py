@@ -1,9 +1,9 @@
 """Exact removal of repeated word passages, by relative Lempel-Ziv parsing.
 
-Passages that could be equal meet in reference blocks (``repeats``). In a block, documents are factored greedily, in the
-order of their ids, against an index of all windows of earlier documents: a factor follows one reference as far as it
-agrees. Factors of at least a window are duplicate spans. Where a factor ends, the next windows, which straddle the
-boundary, are looked up one by one, so that no window is missed because the parse followed another reference.
+Passages that could be equal meet in reference blocks (``repeats``). A block is indexed by a suffix array over its words, so
+that the longest match of each place with any earlier document is known. Each document is factored greedily: a factor is
+the longest match from its first word on. Factors of at least a window are duplicate spans. The windows that straddle a
+factor's end are looked up one by one, so that none is missed because the parse followed another reference.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .hashing import grams, words
+from .hashing import words
+from .suffix_array import permuted_common_prefixes, suffix_array
 from .tables import Scratch, batch, text_bytes
 
 WINDOW, GRAM = 50, 16
@@ -25,41 +26,53 @@ WINDOW, GRAM = 50, 16
 BLOCK, HOT = 1 << 20, 4096
 
 
-def factored(texts: list[np.ndarray], counts: np.ndarray, docs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def longest_earlier(shared: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
+    """By rank: the longest match with a suffix of a smaller ``doc``, if of ``least`` symbols, else 0.
+
+    In either direction the nearest suffix of a smaller document has it. Links lead past suffixes of later documents, several
+    at a time, and the least common prefix on the way is the match; ways on which it is too short end."""
+    out = np.zeros(len(doc), np.int64)
+    for back in (False, True):
+        d = doc[::-1] if back else doc
+        match = (np.append(shared[1:], 0)[::-1] if back else shared).copy()
+        link = np.arange(len(d)) - 1
+        live = np.flatnonzero((match >= least) & (link >= 0))
+        while len(live := live[(match[live] >= least) & (link[live] >= 0)]):
+            live = live[d[link[live]] >= d[live]]
+            via = link[live]
+            match[live], link[live] = np.minimum(match[live], match[via]), link[via]
+        match[(match < least) | (link < 0)] = 0
+        out = np.maximum(out, match[::-1] if back else match)
+    return out
+
+
+def factored(texts: list[bytes], counts: np.ndarray, docs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows (piece, start) of pieces, sorted by document, that a piece of an earlier document holds as well."""
-    begin = np.cumsum([0, *map(len, texts)])
-    units = np.concatenate(texts).astype(np.int64)
-    hashes = grams(units.view(np.uint64), window).tolist()
-    index: dict[int, int] = {}
+    parts = [t.split() for t in texts]  # at the six ASCII spaces
+    lengths = np.array([len(p) for p in parts], np.int64)
+    begin = np.cumsum(lengths + 1) - lengths - 1
+    codes, names = pd.factorize(np.array([w for p in parts for w in (*p, b"")][:-1], dtype=object))
+    # words from 2 on, 1 between pieces and one 0 at the end
+    s = np.append(codes + 2, 0).astype(np.uint16 if len(names) < 65534 else np.uint32)
+    s[begin[1:] - 1] = 1
+    sa = suffix_array(s, len(names) + 2)
+    piece_of = np.searchsorted(begin, sa, "right") - 1
+    left = begin[piece_of] + lengths[piece_of] - sa  # words up to the piece's end, which no factor passes
+    longest = np.empty(len(s), np.int64)
+    shared = permuted_common_prefixes(s, sa, int(lengths.max(initial=0)))[sa]
+    longest[sa] = np.minimum(longest_earlier(shared, docs[piece_of], window), left)
     pieces, places = [], []
-    i = 0
-    while i < len(texts):
-        j = i
-        while j < len(texts) and docs[j] == docs[i]:
-            own, last = begin[j], begin[j] + counts[j]
-            s = own
-            while s < last:
-                ref = index.get(hashes[s])
-                if ref is None:
-                    s += 1
-                    continue
-                most = min(begin[j + 1] - s, len(units) - ref)
-                differ = np.flatnonzero(units[s : s + most] != units[ref : ref + most])
-                factor = int(differ[0]) if len(differ) else most
-                # a factor may run on into the next reference; its windows count only as far as they are whole in this one
-                factor = min(factor, int(begin[np.searchsorted(begin, ref, "right")]) - ref)
-                if factor < window:  # another window of the same hash
-                    s += 1
-                    continue
-                n = min(factor - window + 1, last - s)
-                pieces.append(np.full(n, j))
-                places.append(np.arange(s - own, s - own + n))
-                s += n
-            j += 1
-        for k in range(i, j):
-            for s in range(begin[k], begin[k] + counts[k]):
-                index.setdefault(hashes[s], s)
-        i = j
+    at = np.flatnonzero(longest >= window)
+    piece = np.searchsorted(begin, at, "right") - 1
+    k = 0
+    while k < len(at):  # a factor, then the first place after the windows that it holds
+        j = piece[k]
+        place = int(at[k] - begin[j])
+        n = min(int(longest[at[k]]) - window + 1, int(counts[j]) - place)
+        if n > 0:
+            pieces.append(np.full(n, j))
+            places.append(np.arange(place, place + n))
+        k = int(np.searchsorted(at, at[k] + max(n, 1)))
     if not pieces:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(pieces), np.concatenate(places)
@@ -67,7 +80,7 @@ def factored(texts: list[np.ndarray], counts: np.ndarray, docs: np.ndarray, wind
 
 def _block(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["doc_id", "start"], ignore_index=True)
-    piece, place = factored(list(pdf["units"]), pdf["n"].to_numpy(), pdf["doc_id"].to_numpy(), WINDOW)
+    piece, place = factored(list(pdf["text"]), pdf["n"].to_numpy(), pdf["doc_id"].to_numpy(), WINDOW)
     return repeats.runs(pdf["doc_id"].to_numpy(), pdf["start"].to_numpy(), piece, place)
 
 

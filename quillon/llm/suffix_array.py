@@ -22,8 +22,6 @@ from .tables import Scratch, batch, spans, text_bytes
 WINDOW, GRAM = 100, 32
 #: Bytes of text in a shard, and runs of windows with one anchor beyond which its windows are dealt by their content.
 SHARD, HOT = 1 << 21, 4096
-#: Reduced texts shorter than this are sorted by the same recursion even if their alphabet is large.
-LOOPED = 2048
 
 
 def _types(s: np.ndarray) -> np.ndarray:
@@ -86,31 +84,63 @@ def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, heads: np.ndarr
     return sa
 
 
+def _swept(out: np.ndarray, s: np.ndarray, type_: np.ndarray, want: bool, ptr: np.ndarray) -> None:
+    """One pass of induction over ``out``, in place: the predecessor of each suffix in turn, if of the wanted type, takes the
+    next place of its bucket (``ptr``). A stretch is placed at once as long as nothing lands before its end, and -1 stands for
+    places still empty. Where stretches are short (runs of one symbol), suffix by suffix."""
+    n, at, step = len(out), 0, 256
+    while at < n:
+        part = out[at : at + step]
+        place = np.flatnonzero(part > 0)
+        j = part[place] - 1
+        fits = type_[j] == want
+        place, j = place[fits] + at, j[fits]
+        end = min(at + step, n)
+        if len(j):
+            c = s[j]
+            least = np.minimum.accumulate(ptr[c])  # the first place that is filled by then
+            late = np.flatnonzero(place[1:] > least[:-1])
+            if len(late):
+                j, c = j[: late[0] + 1], c[: late[0] + 1]
+            end = min(end, int(least[len(j) - 1]))
+            o = np.argsort(c, kind="stable")
+            c, j = c[o], j[o]
+            lead = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+            size = np.diff(np.append(lead, len(c)))
+            out[ptr[c] + np.arange(len(c)) - np.repeat(lead, size)] = j
+            ptr[c[lead]] += size
+        if end - at < 24:
+            stop = min(n, end + 512)
+            while end < stop:
+                j = out[end] - 1
+                if j >= 0 and type_[j] == want:
+                    c = s[j]
+                    out[ptr[c]] = j
+                    ptr[c] += 1
+                end += 1
+        step = min(max(2 * (end - at), 64), 1 << 16)
+        at = end
+
+
 def _induce_few(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """The same, suffix by suffix: for large alphabets, whose buckets hold a few suffixes each."""
-    n, text, type_ = len(s), s.tolist(), small.tolist()
-    sa = [-1] * n
-    tails = heads[1:].tolist()
-    for p in reversed(seeds.tolist()):
-        c = text[p]
-        tails[c] -= 1
-        sa[tails[c]] = p
-    ptr = heads[:-1].tolist()
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not type_[j]:
-            c = text[j]
-            sa[ptr[c]] = j
-            ptr[c] += 1
-    ptr = heads[1:].tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and type_[j]:
-            c = text[j]
-            ptr[c] -= 1
-            sa[ptr[c]] = j
-    sa[0] = n - 1
-    return np.array(sa, np.int32)
+    """The same for large alphabets, whose buckets hold a few suffixes each: in stretches that may span many buckets."""
+    n = len(s)
+    sa = np.full(n, -1, np.int64)
+    o = np.argsort(s[seeds], kind="stable")
+    c = s[seeds][o]
+    lead = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+    size = np.diff(np.append(lead, len(c)))
+    sa[heads[c.astype(np.int64) + 1] - np.repeat(size, size) + np.arange(len(c)) - np.repeat(lead, size)] = seeds[o]
+    ptr = heads[:-1].copy()
+    _swept(sa, s, small, False, ptr)
+    # only the larger suffixes stay, at the front of their buckets
+    keep = np.zeros(n + 1, np.int64)
+    np.add.at(keep, heads[:-1], 1)
+    np.add.at(keep, ptr, -1)
+    sa[np.cumsum(keep[:n]) == 0] = -1
+    _swept(sa[::-1], s, small, True, n - heads[1:])  # from the back, so that places count from there
+    sa[0] = n - 1  # the least symbol precedes nothing, so that nothing induces it
+    return sa.astype(np.int32)
 
 
 def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
@@ -131,7 +161,7 @@ def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
         by_substring = by_substring[leftmost[by_substring]]
         names, high = _names(s, lms, by_substring)
         if high < len(lms):
-            lms = lms[suffix_array(names, high) if len(names) < LOOPED or len(names) > 64 * high else _doubled(names)]
+            lms = lms[suffix_array(names, high)]
         else:
             sorted_ = np.empty(len(lms), np.int64)
             sorted_[names] = lms
@@ -139,34 +169,6 @@ def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
     return induce(s, small, lms, heads)
 
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """Suffix array of a reduced text with a large alphabet: substrings of 2, 4, 8 ... names are named from those of half
-    as many, and only those that still have equals go on."""
-    n = len(names)
-    sa = np.argsort(names, kind="stable")
-    lead = np.append(True, names[sa[1:]] != names[sa[:-1]])
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(lead, np.arange(n), 0))
-    size = np.diff(np.append(np.flatnonzero(lead), n))
-    live = sa[np.repeat(size > 1, size)]
-    k = 1
-    while len(live):
-        base, next_ = rank[live], np.full(len(live), -1, np.int64)
-        inside = live + k < n
-        next_[inside] = rank[live[inside] + k]
-        o = np.argsort(base * (n + 1) + next_ + 1, kind="stable")
-        live, base, next_ = live[o], base[o], next_[o]
-        at = np.arange(len(live))
-        group = np.append(True, base[1:] != base[:-1])
-        lead = group | np.append(True, next_[1:] != next_[:-1])
-        rank[live] = base + np.maximum.accumulate(np.where(lead, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
-        size = np.diff(np.append(np.flatnonzero(lead), len(live)))
-        live = live[np.repeat(size > 1, size)]
-        k *= 2
-    sa[rank] = np.arange(n)
-    return sa
-
-
 def _names(s: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, int]:
     """Names leftmost-smaller substrings by rank: in text order, and how many differ."""
     end = np.append(lms[1:], len(s) - 1)
@@ -190,20 +192,22 @@ def _names(s: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> tuple[np.ndar
 
 
 def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray, most: int) -> np.ndarray:
-    """By text position: how many symbols, up to ``most``, a suffix shares with its predecessor in the array."""
+    """By text position: how many symbols, up to ``most``, a suffix shares with its predecessor in the array. ``s`` holds
+    unsigned integers of 8, 16 or 32 bits, of which 64 bits at a time are compared."""
+    bits, step = 8 * s.itemsize, 8 // s.itemsize
     out = np.zeros(len(s), np.int32)
     live, before = sa[1:].astype(np.int64), sa[:-1].astype(np.int64)
-    text = np.concatenate([s.astype(np.uint8), np.zeros(most + 16, np.uint8)])
-    wide = np.ndarray(len(s) + most + 8, np.uint64, buffer=text, strides=(1,))  # 8 symbols from each place
+    text = np.concatenate([s, np.zeros(most + 2 * step, s.dtype)])
+    wide = np.ndarray(len(s) + most + step, np.uint64, buffer=text, strides=(s.itemsize,))  # several symbols from each place
     room = len(s) - np.maximum(live, before)
-    for j in range(0, most, 8):
+    for j in range(0, most, step):
         differ = wide[live + j] ^ wide[before + j]
         last = differ != 0
         low = differ[last]
         low &= ~low + np.uint64(1)
-        out[live[last]] = j + (np.log2(low.astype(np.float64)).astype(np.int32) >> 3)
+        out[live[last]] = j + np.log2(low.astype(np.float64)).astype(np.int32) // bits
         live, before = live[~last], before[~last]
-        out[live] = j + 8
+        out[live] = j + step
         if not len(live):
             break
     capped = np.empty(len(s), np.int64)
@@ -228,8 +232,7 @@ def repeated_windows(pieces: list[bytes], counts: np.ndarray, order: np.ndarray,
     s[separator] = 1
     s[-1] = 0
     sa = suffix_array(s, len(present) + 2)
-    # 8 bits keep all but the alphabets of over 253 bytes apart, which compare by the bytes themselves
-    shared = permuted_common_prefixes(s if len(present) < 254 else raw, sa, window)
+    shared = permuted_common_prefixes(s, sa, window)
     lead = shared[sa] < window
     group = np.cumsum(lead)
     several = ~lead  # only suffixes with an equal neighbour go on
@@ -252,7 +255,7 @@ def repeated_windows(pieces: list[bytes], counts: np.ndarray, order: np.ndarray,
 def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
     """Repeated windows of a shard as runs: ids of windows' rows, first start, count."""
     pdf = pdf.drop_duplicates(["doc_id", "start"]).sort_values(["doc_id", "start"], ignore_index=True)  # rows may repeat
-    piece, place = repeated_windows(list(pdf["units"]), pdf["n"].to_numpy(), np.arange(len(pdf)), WINDOW)
+    piece, place = repeated_windows(list(pdf["text"]), pdf["n"].to_numpy(), np.arange(len(pdf)), WINDOW)
     return repeats.runs(pdf["doc_id"].to_numpy(), pdf["start"].to_numpy(), piece, place)
 
 
