@@ -3,9 +3,9 @@
 Each document's shingle hashes fall into bins by one permutation; a bin's sketch is its least hash, and an empty bin
 borrows from a bin that a hash of its own number picks. Bands of bins name buckets. Documents of equal shingle sets are one
 class, of which only the representative goes on. In a bucket only edges between a centre, the member that shares most
-buckets with most others, and the other members are candidates; every candidate is confirmed on the full sets. Members of
-buckets that still hold several components meet again in finer buckets, by their rarest shingles, in which more centres
-follow, several times as many each round, so that no pair is lost and none is compared whose answer is known.
+buckets with most others, and the other members are candidates; every candidate is confirmed on the full sets. Two members
+that their centre doesn't link may be linked all the same. They meet by what makes them differ from the centre, in an exact
+filter (``differing``): a link must share so much of both differences that hardly any other pair comes up.
 """
 
 from __future__ import annotations
@@ -129,39 +129,69 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components") ->
             return labels
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) of candidate pairs, decided on full sets. Pairs of a frequent ``a`` are dealt over several tasks, each
-    with a copy of its set: at most 1,000 documents have over a thousandth of the pairs, so their table is broadcast."""
+def side_by_side(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b and more) with the sets of both, ``x`` and ``y``. Pairs of a frequent ``a`` are dealt over several
+    tasks, each with a copy of its set: at most 1,000 documents have over a thousandth of the pairs, so their table is
+    broadcast."""
     most = max(256, pairs.count() // 1000)
     heavy = F.broadcast(pairs.groupBy("a").agg(F.ceil(F.count("b") / most).cast("int").alias("parts")).filter("parts > 1"))
     parts = F.coalesce("parts", F.lit(1))
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")).join(heavy, "a", "left").select("a", "x", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    dealt = pairs.join(heavy, "a", "left").select("a", "b", F.pmod(F.hash("b"), parts).alias("part"))
+    dealt = pairs.join(heavy, "a", "left").withColumn("part", F.pmod(F.hash("b"), parts)).drop("parts")
+    return dealt.join(left, ["a", "part"]).join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets link them."""
     common = F.size(F.array_intersect("x", "y"))
-    return (
-        dealt.join(left, ["a", "part"])
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-        .select("a", "b", (common * 100 >= (F.size("x") + F.size("y") - common) * percent).alias("linked"))
-    )
+    return side_by_side(pairs.select("a", "b"), sets).filter(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
 
 
-def prefixes(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Finer buckets for the members of buckets that still hold several components, by an exact prefix filter.
+def differing(members: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Pairs (a, b) around a common centre that may still link two components: all that a link could need, none that a
+    count of differences excludes.
 
-    A link of sizes n and m shares ``percent / (100 + percent)`` of n + m shingles, where m is at least the size of the
-    smallest document in n's buckets. With all shingles in one order, rare ones first, two linked documents so share one of
-    the first ``n - shared + 1`` of each; those name the new buckets. A document whose first shingles are its own alone has
-    no link and goes. Shingles are counted by sums, so that frequent ones cost no more than others.
+    ``members``: (a centre, b document, n and m their sizes). The difference of a document from its centre is the set D of
+    shingles that only one of both has. For two documents, the shingles that only one has are those in only one D. A link
+    allows ``r * (n + m)`` of these, r = (100 - percent) / (100 + percent), so that both D share at least
+    ``(|D| + |E| - r * (n + m)) / 2``. A document that the centre doesn't link (an outsider) has a D too large for one
+    that it does link to share little of it; hence the bound is positive for every pair with an outsider, and one of each
+    pair is: documents that the centre links are one component. By it, with each D in one order, rare shingles first,
+    linked documents share one of the first of each, and few enough stand before it. What edits put in is rare, what they
+    leave is in no D at all, so that members of a large group of near copies meet hardly ever, other than by their text.
     """
-    now = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed_ = now.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("n").alias("lo")).filter("least < most").select("bucket", "lo")
-    members = buckets.join(mixed_, "bucket").groupBy("doc_id", "n", "score").agg(F.min("lo").alias("lo"))
-    other = F.greatest(F.col("lo") * 100, F.col("n") * percent)  # hundredths of the size of the smallest document that fits
-    members = members.withColumn("first", F.col("n") + 1 - F.ceil((F.col("n") * 100 + other) * percent / ((100 + percent) * 100) - 1e-6))
-    shingles = sets.join(members, "doc_id").select("doc_id", "n", "score", "first", F.explode("shingles").alias("bucket"))
-    counts = shingles.groupBy("bucket").agg(F.count("n").alias("held"))
-    ordered = shingles.join(counts, "bucket").withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("held", "bucket")))
-    return ordered.filter("place <= first and held > 1").select("bucket", "doc_id", "n", "score")
+    r = (100 - percent) / (100 + percent)
+    label = lambda side, name: labels.select(F.col("node").alias(side), F.col("component").alias(name))
+    known = members.join(label("b", "cb"), "b", "left").join(label("a", "ca"), "a", "left").filter("a <> b")
+    known = known.select("a", "b", "n", "m", F.coalesce("cb", "b").alias("cb"), (F.coalesce("cb", "b") != F.coalesce("ca", "a")).alias("out"))
+    known = scratch.keep(known, "known")
+    # nothing is left to meet where all are linked with the centre, or one alone is not
+    open_ = known.groupBy("a").agg(F.count(F.lit(1)).alias("members"), F.max("out").alias("some"), F.min("cb").alias("least"), F.max("cb").alias("most")).filter("some and members > 1 and least < most")
+    each = side_by_side(known.join(open_.select("a"), "a", "left_semi"), sets)
+    each = each.select("a", "b", F.col("m").alias("size"), "cb", "out", F.concat(F.array_except("x", "y"), F.array_except("y", "x")).alias("d"))
+    each = scratch.keep(each, "differences")
+    # how far a group's outsiders and its members are beyond what a link allows, at least
+    slack = F.size("d") - r * F.col("size")
+    bounds = each.groupBy("a").agg(F.min(F.when(F.col("out"), slack)).alias("far"), F.min(slack).alias("near"))
+    held = each.select("a", F.explode("d").alias("shingle"), "cb", "out").groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("held"), F.min("cb").alias("least"), F.max("cb").alias("most"), F.max("out").alias("any"))
+    # shingles that meet nothing keep their place in the order, as the first, but need not be told apart
+    meets = held.filter("any and least < most").select("a", "shingle", "held")
+    rows = each.select("a", "b", "size", "cb", "out", F.size("d").alias("differ"), F.explode("d").alias("shingle"))
+    rows = rows.join(meets, ["a", "shingle"], "left")
+    order = Window.partitionBy("a", "b").orderBy(F.col("held").asc_nulls_first(), "shingle")
+    rows = rows.withColumn("place", F.row_number().over(order)).filter("held is not null").join(bounds, "a")
+    first = lambda other: F.col("differ") + 1 - F.ceil((F.col("differ") - r * F.col("size") + F.col(other)) / 2 - 1e-6)
+    rows = rows.withColumns({"asks": F.col("out") & (F.col("place") <= first("near")), "answers": F.col("place") <= first("far")}).filter("asks or answers")
+    rows = scratch.keep(rows.select("a", "b", "size", "cb", "out", "differ", "shingle", "place", "asks", "answers"), "first")
+    ask = rows.filter("asks").select("a", "shingle", F.col("b").alias("b2"), F.col("size").alias("size2"), F.col("cb").alias("cb2"), F.col("differ").alias("differ2"), F.col("place").alias("place2"))
+    answer = rows.filter("answers")
+    after = F.least(F.col("differ") - F.col("place"), F.col("differ2") - F.col("place2")) + 1
+    fits = F.least("size", "size2") * 100 >= F.greatest("size", "size2") * percent
+    enough = 2 * after >= F.col("differ") + F.col("differ2") - r * (F.col("size") + F.col("size2")) - 1e-6
+    pairs = answer.join(ask, ["a", "shingle"]).filter((F.col("cb") != F.col("cb2")) & (~F.col("out") | (F.col("b2") < F.col("b"))) & fits & enough)
+    out = scratch.keep(pairs.select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")).distinct(), "pairs")
+    scratch.drop("known", "differences", "first")
+    return out
 
 
 def minhash_dedup(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -182,42 +212,19 @@ def minhash_dedup(docs: DataFrame, *, shingle: int = 5, percent: int = 80, bands
     # a document whose bins are its neighbours' too is a likely centre of all of them
     score = shared.groupBy("doc_id").agg(F.sum("members").alias("score"))
     buckets = scratch.keep(shared.join(score, "doc_id").select("bucket", "doc_id", "n", "score"), "buckets")
-    scratch.drop("shared")
     sets = scratch.keep(docs.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(lambda it: _sets(it, shingle), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
-    scratch.free()
-    fits = (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
-    centres = buckets.groupBy("bucket").agg(F.max(F.struct("score", -F.col("doc_id"), "n")).alias("x")).select("bucket", (-F.col("x.col2")).alias("a"), F.col("x.n").alias("m"))
-    pairs = buckets.join(centres, "bucket").filter((F.col("doc_id") != F.col("a")) & fits).select("a", F.col("doc_id").alias("b")).distinct()
-    pairs = scratch.keep(pairs, "pairs-0")
-    labels, seen, done, step = None, None, 0, 0
-    while True:
-        step += 1
-        checked = confirmed(pairs, sets, percent)
-        checked = scratch.keep(checked, f"checked-{step}")
-        scratch.free()
-        seen = checked if seen is None else seen.unionByName(checked)
-        if labels is None or checked.filter("linked").limit(1).count():
-            labels = components(seen.filter("linked").select("a", "b"), scratch, f"components-{step}")
-        if step == 1:
-            buckets = scratch.keep(prefixes(buckets, labels, sets, percent), "prefixes")
-        # the next centres of buckets that still hold several components
-        while True:
-            now = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-            open_ = now.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("n").alias("members")).filter(f"least < most and members > {done + 1}").select("bucket")
-            ranked = scratch.keep(now.join(open_, "bucket", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("score"), "doc_id"))), f"ranked-{step}-{done}")
-            most = ranked.agg(F.max("rank")).first()[0] or 0
-            if most <= done + 1:
-                pairs = None
-                break
-            last, done = done, 16 * done + 16
-            ahead = ranked.filter((F.col("rank") > last) & (F.col("rank") <= done)).select("bucket", F.col("doc_id").alias("a"), F.col("rank").alias("from"), F.col("component").alias("ca"), F.col("n").alias("m"))
-            pairs = ranked.join(ahead, "bucket").filter((F.col("rank") > F.col("from")) & (F.col("component") != F.col("ca")) & fits).select("a", F.col("doc_id").alias("b")).distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti")
-            pairs = scratch.keep(pairs, f"pairs-{step}-{done}")
-            if pairs.limit(1).count():
-                break
-        if pairs is None:
-            break
-    scratch.drop("sets", "buckets", "prefixes")
-    named = classes.select("k1", "k2", "n_shingles", F.col("doc_id").alias("node")).join(labels, "node", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    centres = buckets.groupBy("bucket").agg(F.max(F.struct("score", -F.col("doc_id"), "n")).alias("x")).select("bucket", (-F.col("x.col2")).alias("a"), F.col("x.n").alias("n"))
+    members = scratch.keep(buckets.select("bucket", F.col("doc_id").alias("b"), F.col("n").alias("m")).join(centres, "bucket").select("a", "b", "n", "m").distinct(), "members")
+    scratch.drop("shared", "buckets")
+    stars = members.filter((F.col("a") != F.col("b")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent))
+    labels = components(scratch.keep(confirmed(stars, sets, percent), "stars"), scratch, "first")
+    more = confirmed(differing(members, labels, sets, scratch, percent), sets, percent)
+    # the links found last are between components
+    label = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    more = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(scratch.keep(more, "more"), scratch, "last").select(F.col("node").alias("was"), F.col("component").alias("now"))
+    scratch.drop("sets", "members", "stars", "pairs", "more")
+    named = classes.select("k1", "k2", "n_shingles", F.col("doc_id").alias("node")).join(labels, "node", "left").withColumn("was", F.coalesce("component", "node")).join(joined, "was", "left")
+    named = named.select("k1", "k2", "n_shingles", F.coalesce("now", "was").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

@@ -278,3 +278,70 @@ def test_license_bands_are_min_wise(spark):
     alone = licenses.let(F.array("one"), lambda x: licenses.window_bands(x, 5))
     missed = own.filter(F.size(F.array_intersect(alone, "all")) == 0).count() / 10_000
     assert missed < 0.003  # 0.8 ** 32 = 0.0008
+
+
+def test_suffix_array_recurses_on_text(spark, sf):
+    """On 500 KB of text the induced sorting goes on by itself, level after level, until all names differ."""
+    raw = "\0".join(r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()).encode()[:500_000] + b"\0"
+    present, codes = np.unique(np.frombuffer(raw, np.uint8), return_inverse=True)
+    s = codes + 1
+    s[-1] = 0
+    levels, whole = [], suffix_array.suffix_array
+
+    def counted(s, sigma):
+        levels.append(len(s))
+        return whole(s, sigma)
+
+    suffix_array.suffix_array = counted
+    try:
+        sa = counted(s, len(present) + 1)
+    finally:
+        suffix_array.suffix_array = whole
+    assert len(levels) >= 4 and all(b <= a / 2 for a, b in zip(levels, levels[1:], strict=False))
+    assert np.array_equal(np.sort(sa), np.arange(len(s)))
+    text = s.astype(np.uint8).tobytes()
+    for k in range(0, len(sa) - 1, 97):
+        assert text[sa[k] : sa[k] + 3000] <= text[sa[k + 1] : sa[k + 1] + 3000]
+
+
+def test_factors_are_the_longest():
+    """Against comparing each place with every place of earlier documents."""
+    rng = random.Random(2)
+    for t in range(30):
+        texts = [b" ".join(rng.choices([b"a", b"b", b"c"][: 2 + t % 2], k=rng.randint(1, 30))) for _ in range(12)]
+        docs = np.sort(np.array([rng.randrange(6) for _ in texts]))
+        words_ = [x.split() for x in texts]
+        counts = np.array([max(0, len(w) - 4) for w in words_])
+        piece, place = rlz.factored(texts, counts, docs, 5)
+        held = lambda j: {tuple(w[i : i + 5]) for k, w in enumerate(words_) if docs[k] < docs[j] for i in range(len(w) - 4)}
+        want = [(j, i) for j, w in enumerate(words_) for i in range(len(w) - 4) if tuple(w[i : i + 5]) in held(j)]
+        assert list(zip(piece.tolist(), place.tolist(), strict=True)) == want
+
+
+def test_candidates_grow_with_the_members(spark, monkeypatch):
+    """Near copies of one text, some linked with it and some not: candidates grow no faster than the group, and the result
+    is that of brute force."""
+    rng, seen = random.Random(4), {}
+    keep = minhash.Scratch.keep
+
+    def counted(self, df, name):
+        out = keep(self, df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash.Scratch, "keep", counted)
+    base = [f"w{k}" for k in rng.choices(range(300), k=140)]
+    made = []
+    for size in (150, 600):
+        rows = []
+        for i in range(size):
+            w = base[:]
+            for _ in range(rng.choice([1, 2, 3, 4, 5, 6, 8])):
+                w[rng.randrange(len(w))] = f"w{rng.randrange(300)}"
+            rows.append((i, " ".join(w)))
+        got = by_id(minhash.minhash_dedup(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4), "n_shingles", "component_id", "kept")
+        assert got == brute.near_dedup(rows, 4)
+        assert len({c for _, c, _ in got.values()}) > size // 10  # many are not linked
+        made.append((seen["members"], seen["first"], seen["pairs"]))
+    assert all(b <= 6 * a + 50 for a, b in zip(*made, strict=True)), made
+    assert made[1][2] <= 4 * 600, made
