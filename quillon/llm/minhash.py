@@ -20,6 +20,8 @@ from .tables import Scratch, batch, spans, text_bytes
 
 #: At a likeness of 0.8, 64 bands of 6 rows miss a pair with a chance of 4e-9.
 BANDS, ROWS = 64, 6
+#: Tasks that share the members of a centre, at most.
+SALTS = 64
 #: Tries of an empty bin before it takes the best of all full bins.
 TRIES = 24
 _NONE = np.uint64(2**64 - 1)
@@ -176,10 +178,13 @@ def differing(members: DataFrame, labels: DataFrame, sets: DataFrame, scratch: S
     held = each.select("a", F.explode("d").alias("shingle"), "cb", "out").groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("held"), F.min("cb").alias("least"), F.max("cb").alias("most"), F.max("out").alias("any"))
     # shingles that meet nothing keep their place in the order, as the first, but need not be told apart
     meets = held.filter("any and least < most").select("a", "shingle", "held")
-    rows = each.select("a", "b", "size", "cb", "out", F.size("d").alias("differ"), F.explode("d").alias("shingle"))
+    # a centre's members are dealt over several tasks, each with a copy of its bounds
+    dealt = bounds.select("a", "far", "near", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
+    rows = each.withColumn("part", F.pmod(F.hash("b"), F.lit(SALTS))).join(dealt, ["a", "part"])
+    rows = rows.select("a", "b", "size", "cb", "out", "far", "near", F.size("d").alias("differ"), F.explode("d").alias("shingle"))
     rows = rows.join(meets, ["a", "shingle"], "left")
     order = Window.partitionBy("a", "b").orderBy(F.col("held").asc_nulls_first(), "shingle")
-    rows = rows.withColumn("place", F.row_number().over(order)).filter("held is not null").join(bounds, "a")
+    rows = rows.withColumn("place", F.row_number().over(order)).filter("held is not null")
     first = lambda other: F.col("differ") + 1 - F.ceil((F.col("differ") - r * F.col("size") + F.col(other)) / 2 - 1e-6)
     rows = rows.withColumns({"asks": F.col("out") & (F.col("place") <= first("near")), "answers": F.col("place") <= first("far")}).filter("asks or answers")
     rows = scratch.keep(rows.select("a", "b", "size", "cb", "out", "differ", "shingle", "place", "asks", "answers"), "first")
