@@ -12,6 +12,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .hashing import mixed
 from .tables import batch
@@ -21,7 +23,6 @@ DIM, GRAM = 512, 3
 SAMPLE = 2000
 #: Letters that are looked at in one go.
 BLOCK = 1 << 18
-_OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 _LETTER: list[np.ndarray] = []
 
 
@@ -105,10 +106,10 @@ def bundled(texts: list[str]) -> np.ndarray:
     return total
 
 
-def _predicted(batches, model):
+def _predicted(batches, model, schema: pa.Schema, declared: bool):
     names, prototypes = model.value
     for b in batches:
-        texts = [t or "" for t in b.column(1).to_pylist()]
+        texts = [t or "" for t in b.column(0).to_pylist()]
         for i, j in _groups(texts):
             p = profiles(texts[i:j])
             norm = np.linalg.norm(p, axis=1)
@@ -118,8 +119,10 @@ def _predicted(batches, model):
                 score = np.clip(cosine[np.arange(len(best)), best], 0, 1)
                 lang = [names[k] if n else "und" for k, n in zip(best, norm, strict=True)]
             else:
-                score, lang = np.zeros(j - i), ["und"] * (j - i)
-            yield batch(_OUT, b.column(0).slice(i, j - i), lang, np.where(norm > 0, score, 0.0).astype(np.float64))
+                cosine, score, lang = np.zeros((j - i, 0)), np.zeros(j - i), ["und"] * (j - i)
+            own = [b.column(k).slice(i, j - i) for k in range(1, b.num_columns)]
+            told = [[float(cosine[k, names.index(x)]) if x in names else None for k, x in enumerate(own.pop(0).to_pylist())]] if declared else []
+            yield batch(schema, *own, lang, np.where(norm > 0, score, 0.0).astype(np.float64), *told)
 
 
 def learn(docs: DataFrame, *, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
@@ -136,12 +139,19 @@ def learn(docs: DataFrame, *, sample: int = SAMPLE) -> tuple[list[str], np.ndarr
     return [r.lang for r in rows], table / np.maximum(norm, 1e-9)
 
 
-def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """(doc_id, lang_pred, score) of each row: the language of the closest prototype and its cosine, cut to 0 to 1. Texts
-    that are null or have no letter are ``und`` with score 0, as are all where nothing was learned. Whole texts count;
-    ties go to the language that sorts first; other columns are ignored."""
+def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray], *, extra: tuple[str, ...] = (), declared: str | None = None) -> DataFrame:
+    """(doc_id, lang_pred, score) of each row, after its columns ``extra``: the language of the closest prototype and its
+    cosine, cut to 0 to 1. Texts that are null or have no letter are ``und`` with score 0, as are all where nothing was
+    learned. Whole texts count; ties go to the language that sorts first; rows that repeat are rows of their own; a null
+    doc_id stays null. Of other columns, only ``extra`` come back. ``declared``: a column of languages, of which
+    ``declared_score`` has the cosine (null where none was learned by that name)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _predicted(it, shared), "doc_id long, lang_pred string, score double")
+    told = [F.col(declared).alias("__declared")] if declared else []
+    rows = docs.select("text", *told, *extra, F.col("doc_id").cast("long").alias("doc_id"))
+    new = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("declared_score", T.DoubleType())]
+    out = T.StructType([*rows.schema.fields[1 + len(told) :], *(T.StructField(*x) for x in new[: 2 + len(told)])])
+    schema, tells = to_arrow_schema(out), bool(told)
+    return rows.mapInArrow(lambda it: _predicted(it, shared, schema, tells), out)
 
 
 def held_out(column: str, parts: int, rest: int):

@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Spark's setting by which the shuffle files of a query go when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -58,6 +59,26 @@ class Scratch:
             self._files(self.paths.pop(name), lambda fs, path: fs.delete(path, True))
 
 
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with ``row``, a number of its own for each row that rises with doc_id: doc_id itself where it is unique.
+
+    Where ids repeat or are null, rows are sorted by id and text (null ids last) over range partitions and written; their
+    place in that order is the number. As many counts as there are partitions come to the driver."""
+    if not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").limit(1).count():
+        return docs.withColumn("row", F.col("doc_id").cast("long"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]
+    place = F.monotonically_increasing_id()  # the partition's number, then 33 bits
+    sorted_ = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_ = scratch.keep(sorted_.withColumns({"__part": F.shiftright(place, 33), "__place": place.bitwiseAND((1 << 33) - 1)}), "numbered")
+    sizes = {r[0]: r[1] for r in sorted_.groupBy("__part").agg(F.count(F.lit(1))).collect()}
+    before, rows = 0, []
+    for part in sorted(sizes):
+        rows.append((part, before))
+        before += sizes[part]
+    begins = docs.sparkSession.createDataFrame(rows, "__part long, __before long")
+    return sorted_.join(F.broadcast(begins), "__part").withColumn("row", F.col("__before") + F.col("__place")).drop("__part", "__place", "__before")
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column as one array, and its n + 1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):
