@@ -6,6 +6,7 @@ Fields are ``@name``. A wrong type or an unknown function gives null, as does a
 
 from __future__ import annotations
 
+import inspect
 import math
 import re
 from collections.abc import Callable
@@ -108,6 +109,15 @@ def parse(text: str) -> tuple:
     return tree
 
 
+def _takes(function: Callable, n: int) -> bool:
+    """Whether a function may be called with ``n`` arguments."""
+    try:
+        inspect.signature(function).bind(*range(n))
+    except TypeError:
+        return False
+    return True
+
+
 def compile_tree(tree: tuple, fields: Callable[[str], Value]) -> Value:
     kind = tree[0]
     if kind == "num":
@@ -117,11 +127,9 @@ def compile_tree(tree: tuple, fields: Callable[[str], Value]) -> Value:
     if kind == "field":
         return fields(tree[1])
     if kind == "call":
+        function = FUNCTIONS.get(tree[1])
         args = [compile_tree(a, fields) for a in tree[2]]
-        try:
-            return FUNCTIONS[tree[1]](*args)
-        except (KeyError, TypeError):  # unknown, or another number of arguments
-            return null()
+        return function(*args) if function and _takes(function, len(args)) else null()
     if kind == "not":
         return flag(~truthy(compile_tree(tree[1], fields)))
     if kind == "neg":
@@ -204,31 +212,70 @@ def _format(fmt: Value, *args: Value) -> Value:
     return string(F.concat(*out, F.lit(fmt.text[i:])))
 
 
-#: Directives of strftime, and letters of Java's patterns for the same.
-_PATTERNS = {"Y": "yyyy", "m": "MM", "d": "dd", "H": "HH", "M": "mm", "S": "ss", "y": "yy", "j": "DDD", "b": "MMM", "B": "MMMM", "a": "EEE", "A": "EEEE", "p": "a", "I": "hh", "F": "yyyy-MM-dd", "T": "HH:mm:ss"}
+#: Directives of strftime in the C locale, and Spark's patterns for the same.
+_PATTERNS = {
+    "Y": "yyyy", "y": "yy", "m": "MM", "d": "dd", "j": "DDD", "H": "HH", "I": "hh", "M": "mm", "S": "ss", "p": "a",
+    "a": "EEE", "A": "EEEE", "b": "MMM", "B": "MMMM", "h": "MMM", "F": "yyyy-MM-dd", "T": "HH:mm:ss", "R": "HH:mm",
+    "D": "MM/dd/yy", "x": "MM/dd/yy", "X": "HH:mm:ss", "r": "hh:mm:ss a",
+}
+
+
+def _pieces(fmt: str):
+    """(directive, text) of a format: one of both is empty. A % that ends it stands for itself."""
+    for directive, plain in re.findall(r"%(.)|([^%]+|%$)", fmt, re.S):
+        yield ("", "%") if directive == "%" else (directive, plain)
 
 
-def java_pattern(fmt: str) -> str:
+def java_pattern(fmt: str) -> str | None:
+    """The pattern that reads what ``fmt`` writes; None for a directive that none stands for."""
     out = []
-    for directive, plain in re.findall(r"%(.)|([^%]+)", fmt):
-        if directive == "%":
-            out.append("'%'")
-        elif directive:
-            out.append(_PATTERNS[directive])
-        else:
-            out.append("".join(f"'{p}'" if re.search(r"[A-Za-z]", p) else p for p in re.split(r"([A-Za-z]+)", plain) if p))
+    for directive, plain in _pieces(fmt):
+        if directive and directive not in _PATTERNS:
+            return None
+        out.append(_PATTERNS[directive] if directive else "".join(f"'{p}'" if re.search(r"[A-Za-z]", p) else "''" if p == "'" else p for p in re.split(r"([A-Za-z]+|')", plain) if p))
     return "".join(out)
 
 
+def _directive(t: Column, d: str) -> Column:
+    """A moment as a directive of strftime shows it; unknown ones stay as they are."""
+    if d in _PATTERNS:
+        return F.date_format(t, _PATTERNS[d])
+    monday, year = F.weekday(t), F.dayofyear(t)
+    if d in "GgV":  # the year and week of ISO 8601: those of the week's Thursday
+        thursday = F.date_add(F.to_date(t), 3 - monday)
+        return {"G": F.year(thursday).cast("string"), "g": F.lpad((F.year(thursday) % 100).cast("string"), 2, "0"), "V": F.lpad(F.weekofyear(t).cast("string"), 2, "0")}[d]
+    shown = {
+        "s": lambda: F.unix_seconds(t).cast("string"),
+        "e": lambda: F.lpad(F.dayofmonth(t).cast("string"), 2, " "),
+        "k": lambda: F.lpad(F.hour(t).cast("string"), 2, " "),
+        "l": lambda: F.lpad(((F.hour(t) + 11) % 12 + 1).cast("string"), 2, " "),
+        "C": lambda: F.lpad(F.floor(F.year(t) / 100).cast("string"), 2, "0"),
+        "u": lambda: (monday + 1).cast("string"),
+        "w": lambda: (F.dayofweek(t) - 1).cast("string"),
+        "U": lambda: F.lpad(F.floor((year + 6 - (F.dayofweek(t) - 1)) / 7).cast("string"), 2, "0"),
+        "W": lambda: F.lpad(F.floor((year + 6 - monday) / 7).cast("string"), 2, "0"),
+        "P": lambda: F.lower(F.date_format(t, "a")),
+        "c": lambda: F.concat(F.date_format(t, "EEE MMM "), F.lpad(F.dayofmonth(t).cast("string"), 2, " "), F.date_format(t, " HH:mm:ss yyyy")),
+        "n": lambda: F.lit("\n"),
+        "t": lambda: F.lit("\t"),
+        "z": lambda: F.lit("+0000"),
+        "Z": lambda: F.lit("GMT"),
+    }
+    return shown[d]() if d in shown else F.lit(f"%{d}")
+
+
 def _timefmt(ts: Value, fmt: Value | None = None) -> Value:
-    text = fmt.text if isinstance(fmt, Literal) else "%Y-%m-%dT%H:%M:%S"
-    return string(F.date_format(F.timestamp_seconds(F.floor(as_number(ts))), java_pattern(text)))
+    if fmt is not None and not isinstance(fmt, Literal):
+        return null()
+    t = F.timestamp_seconds(F.floor(as_number(ts)))
+    return string(F.concat(F.when(t.isNotNull(), ""), *(_directive(t, d) if d else F.lit(plain) for d, plain in _pieces(fmt.text if fmt else "%Y-%m-%dT%H:%M:%S"))))
 
 
 def _parsetime(s: Value, fmt: Value) -> Value:
     if s.kind != STR or not isinstance(fmt, Literal):
         return null()
-    return number(F.unix_timestamp(F.try_to_timestamp(s.col, F.lit(java_pattern(fmt.text)))).cast("double"))
+    pattern = java_pattern(fmt.text)
+    return null() if pattern is None else number(F.unix_timestamp(F.try_to_timestamp(s.col, F.lit(pattern))).cast("double"))
 
 
 def _geodistance(a: Value, b: Value, unit: Value | None = None) -> Value:

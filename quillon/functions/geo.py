@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The radius and the metres of each unit that indexes and geo commands use.
@@ -43,6 +43,14 @@ def near(p: Column, lon: float, lat: float, radius: float, unit: str = "m") -> C
     return F.coalesce(p.isNotNull() & box & (haversine(p, lonlat(lon, lat)) <= metres), F.lit(False))
 
 
+def by_member(points: DataFrame, key: str, member, radius: float, unit: str = "m") -> DataFrame:
+    """GEORADIUSBYMEMBER, GEOSEARCH FROMMEMBER: the rows of (key, p) within a radius of one member's point, with ``distance``
+    in the unit. The member's point is one row; a missing member gives none."""
+    centre = F.broadcast(points.filter(F.col(key) == member).select(F.col("p").alias("__centre")).limit(1))
+    found = points.crossJoin(centre).withColumn("distance", haversine(F.col("p"), F.col("__centre")) / METRES[unit.lower()])
+    return found.filter(F.col("distance") <= radius).drop("__centre")
+
+
 def in_box(p: Column, lon: float, lat: float, width: float, height: float, unit: str = "m") -> Column:
     """Within half a width, measured along the point's own latitude, and half a height."""
     metres = METRES[unit.lower()]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable
 
@@ -14,12 +15,19 @@ _CLASS = re.escape(SEPARATORS).replace("/", r"\/") + r"\\"
 _WORD = rf"(?:\\.|[^{_CLASS}])+"
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case words in order; a backslash makes the next character part of a word. Null has none."""
-    plain = F.filter(F.split(text, f"[{re.escape(SEPARATORS)}]+"), lambda w: w != "")
-    escaped = F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lambda w: F.regexp_replace(w, r"\\(.)", "$1"))
-    words = F.when(F.contains(text, F.lit("\\")), escaped).otherwise(plain)
-    return F.coalesce(F.transform(words, lambda w: F.lower(w)), F.array().cast("array<string>"))
+def tokens(text: Column, stopwords: Iterable[str] = ()) -> Column:
+    """Lower-case words in order, without stopwords; a backslash makes the next character part of a word. Null has none."""
+    low, drop = F.lower(text), sorted(stopwords)
+    escaped = F.transform(F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)), lambda w: F.regexp_replace(w, r"\\(.)", "$1"))
+    words = F.when(F.contains(low, F.lit("\\")), escaped).otherwise(F.split(low, f"[{re.escape(SEPARATORS)}]+"))
+    wanted = F.filter(words, lambda w: (w != "") & ~w.isin(drop) if drop else w != "")
+    return F.coalesce(wanted, F.array().cast("array<string>"))
+
+
+def may_hold(text: Column, terms: Iterable[str]) -> Column:
+    """False for a text that holds none of the words, without looking for words: none of its characters run like them."""
+    low = F.lower(text)
+    return functools.reduce(lambda a, b: a | b, (F.contains(low, F.lit(t)) for t in sorted(set(terms))), F.contains(text, F.lit("\\")))
 
 
 def words_of(text: str) -> list[str]:
@@ -27,11 +35,6 @@ def words_of(text: str) -> list[str]:
     return [re.sub(r"\\(.)", r"\1", m).lower() for m in re.findall(_WORD, text)]
 
 
-def without(words: Column, stopwords: Iterable[str]) -> Column:
-    drop = sorted(stopwords)
-    return F.filter(words, lambda w: ~w.isin(drop)) if drop else words
-
-
 def has_any(words: Column, terms: Iterable[str]) -> Column:
     terms = sorted(set(terms))
     if len(terms) == 1:

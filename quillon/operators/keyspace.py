@@ -30,11 +30,12 @@ def persist(df: DataFrame, keys: DataFrame) -> DataFrame:
     return expire(df, keys, F.lit(None).cast("timestamp"))
 
 
-def ttl(df: DataFrame, now: Column, unit: str = "s") -> DataFrame:
-    """(key, ttl): time left, -1 without expiry."""
+def ttl(df: DataFrame, now: Column, unit: str = "s", asked: DataFrame | None = None) -> DataFrame:
+    """(key, ttl): time left, -1 without expiry; -2 for ``asked`` keys that are missing. HTTL and FIELDTTL by a key of both."""
     parts = F.unix_micros(F.col("expire_at")) - F.unix_micros(now)
     left = F.floor(parts / (1_000_000 if unit == "s" else 1000)).cast("long")
-    return df.select("key", F.coalesce(left, F.lit(-1).cast("long")).alias("ttl"))
+    found = df.select("key", F.coalesce(left, F.lit(-1).cast("long")).alias("ttl"))
+    return found if asked is None else asked.select("key").join(found.distinct(), "key", "left").select("key", F.coalesce("ttl", F.lit(-2).cast("long")).alias("ttl"))
 
 
 def scan(df: DataFrame, *, match: str = "*", after: str | None = None, count: int | None = None, key: str = "key") -> DataFrame:
@@ -63,9 +64,12 @@ def rename(df: DataFrame, old: str, new: str, *, if_absent: bool = False) -> Dat
 
 
 def copy(df: DataFrame, old: str, new: str, *, replace: bool = False) -> DataFrame:
-    base = df.filter(F.col("key") != new) if replace else df
-    made = df.filter(F.col("key") == old).withColumn("key", F.lit(new))
-    return base.unionByName(made if replace else made.join(df.filter(F.col("key") == new).select("key").distinct(), "key", "left_anti"))
+    """Puts a copy of ``old`` at ``new``; where ``old`` is missing, or ``new`` is there and not to be replaced, nothing changes."""
+    there = F.broadcast(df.filter(F.col("key").isin(old, new)).agg(F.coalesce(F.max(F.col("key") == old), F.lit(False)).alias("__old"), F.coalesce(F.max(F.col("key") == new), F.lit(False)).alias("__new")))  # one row
+    go = F.col("__old") & (F.lit(replace) | ~F.col("__new")) & F.lit(old != new)
+    rows = df.crossJoin(there)
+    kept = rows.filter(~(go & (F.col("key") == new)))
+    return kept.unionByName(rows.filter(go & (F.col("key") == old)).withColumn("key", F.lit(new))).drop("__old", "__new")
 
 
 def multi_get(df: DataFrame, asked: DataFrame, on: tuple[str, ...] = ("key",)) -> DataFrame:
@@ -76,14 +80,75 @@ def multi_get(df: DataFrame, asked: DataFrame, on: tuple[str, ...] = ("key",)) -
 # --- strings
 
 
+def _ordered(new: DataFrame) -> DataFrame:
+    """``new`` with the ``ordinal`` of its rows: their own, or their order."""
+    return new if "ordinal" in new.columns else new.withColumn("ordinal", F.monotonically_increasing_id())
+
+
+def one_each(new: DataFrame, keys: list[str], *, first: bool = False) -> DataFrame:
+    """The last row of each key by ``ordinal`` (the first, if so told), reduced in the tasks that read them."""
+    rest = [c for c in new.columns if c not in (*keys, "ordinal")]
+    pick = (F.min_by if first else F.max_by)(F.struct(F.lit(0).alias("__row"), *rest), "ordinal").alias("x")
+    return _ordered(new).groupBy(*keys).agg(pick).select(*keys, *(F.col(f"x.{c}").alias(c) for c in rest))
+
+
 def upsert(df: DataFrame, new: DataFrame, *, keys: tuple[str, ...] = ("key",), only: str = "") -> DataFrame:
-    """SET, MSET, HSET, SADD, ZADD: later rows replace earlier ones of the same keys; ``only``: NX new, XX existing ones."""
+    """SET, MSET, HSET, SADD, ZADD: later rows (by ``ordinal``, or in their order) replace earlier ones of the same keys;
+    ``only``: NX new, of which the first stays, XX existing ones."""
     on = list(keys)
+    new = one_each(new, on, first=only == "NX")
     if only == "NX":
         new = new.join(df.select(*on).distinct(), on, "left_anti")
     elif only == "XX":
         new = new.join(df.select(*on).distinct(), on, "left_semi")
-    return df.join(new.select(*on).distinct(), on, "left_anti").unionByName(new, allowMissingColumns=True)
+    return df.join(new.select(*on), on, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def set_if_none(df: DataFrame, new: DataFrame) -> DataFrame:
+    """MSETNX: all of ``new``, or nothing where one of its keys is there."""
+    taken = F.broadcast(new.join(df.select("key").distinct(), "key", "left_semi").agg(F.count("key").alias("__taken")))  # one row
+    rows = one_each(new, ["key"]).crossJoin(taken).filter("__taken = 0").drop("__taken")
+    return df.unionByName(rows, allowMissingColumns=True)
+
+
+def take(df: DataFrame, keys: DataFrame, on: tuple[str, ...] = ("key",)) -> tuple[DataFrame, DataFrame]:
+    """GETDEL, HGETDEL: (rows of ``keys``, the rest)."""
+    asked = keys.select(*on).distinct()
+    return df.join(asked, list(on), "left_semi"), df.join(asked, list(on), "left_anti")
+
+
+def get_and_expire(df: DataFrame, keys: DataFrame, at: Column | None) -> tuple[DataFrame, DataFrame]:
+    """GETEX, GAT: (values of ``keys``, the table with their new expiry, none for null)."""
+    return df.join(keys.select("key").distinct(), "key", "left_semi"), expire(df, keys, F.lit(None).cast("timestamp") if at is None else at)
+
+
+def touch(df: DataFrame, asked: DataFrame) -> DataFrame:
+    """TOUCH: how many of the asked keys there are."""
+    return exists(df, asked)
+
+
+def key_type(tables: dict[str, DataFrame], asked: DataFrame) -> DataFrame:
+    """TYPE: (key, type) by the table that has the key, ``none`` for others. ``tables``: type name to table."""
+    found = functools.reduce(DataFrame.unionByName, (t.select("key", F.lit(name).alias("type")).distinct() for name, t in tables.items()))
+    return asked.select("key").join(found, "key", "left").select("key", F.coalesce("type", F.lit("none")).alias("type"))
+
+
+def expire_time(df: DataFrame, asked: DataFrame, unit: str = "s") -> DataFrame:
+    """EXPIRETIME, PEXPIRETIME: (key, at) since the epoch; -1 without expiry, -2 for missing keys."""
+    at = F.floor(F.unix_micros("expire_at") / (1_000_000 if unit == "s" else 1000)).cast("long")
+    found = df.select("key", F.coalesce(at, F.lit(-1).cast("long")).alias("at")).distinct()
+    return asked.select("key").join(found, "key", "left").select("key", F.coalesce("at", F.lit(-2).cast("long")).alias("at"))
+
+
+def digest(text: Column) -> Column:
+    """DIGEST: the value's 64-bit hash in hexadecimal."""
+    return F.lpad(F.lower(F.hex(F.xxhash64(text))), 16, "0")
+
+
+def store(df: DataFrame, target: str, rows: DataFrame) -> DataFrame:
+    """SUNIONSTORE, ZINTERSTORE, ZRANGESTORE, GEORADIUS ... STORE, SORT ... STORE: ``rows`` become all that ``target`` holds."""
+    made = rows.withColumn("key", F.lit(target))
+    return df.filter(F.col("key") != target).unionByName(made.select(*[c for c in df.columns if c in made.columns]), allowMissingColumns=True)
 
 
 def append(df: DataFrame, more: DataFrame, *, before: bool = False) -> DataFrame:
@@ -111,8 +176,13 @@ def get_range(text: Column, start: int, end: int) -> Column:
 
 
 def set_range(text: Column, offset: int, part: str) -> Column:
-    raw = F.coalesce(text, F.lit(""))
-    return F.concat(F.rpad(raw, F.lit(offset), F.lit("\0")), F.lit(part), F.substring(raw, F.lit(offset + len(part) + 1), F.length(raw)))
+    """Overwrites bytes from ``offset`` on, after zeros where the value is shorter. Bytes that are no whole character any more
+    become the replacement character, as text has no others."""
+    raw, own = F.coalesce(text.cast("binary"), F.lit(b"")), part.encode()
+    if not own:
+        return F.coalesce(text, F.lit(""))
+    head = F.concat(F.substring(raw, 1, offset), F.unhex(F.repeat(F.lit("00"), F.greatest(F.lit(offset) - F.octet_length(raw), F.lit(0)))))
+    return F.make_valid_utf8(F.concat(head, F.lit(own), F.substring(raw, offset + len(own) + 1, 1 << 30)).cast("string"))
 
 
 def previous(df: DataFrame) -> DataFrame:
@@ -215,6 +285,19 @@ def diff(df: DataFrame, keys: list[str]) -> DataFrame:
     return first.join(df.filter(F.col("key").isin(keys[1:])).select("member"), "member", "left_anti")
 
 
+def move(df: DataFrame, source: str, target: str, member: str) -> DataFrame:
+    """SMOVE: a member leaves one set for another; nothing changes where it isn't there."""
+    hit = df.filter((F.col("key") == source) & (F.col("member") == member)).withColumn("key", F.lit(target))
+    rest = df.filter(~((F.col("key") == source) & (F.col("member") == member)))
+    return rest.unionByName(hit.join(rest, ["key", "member"], "left_anti")) if source != target else df
+
+
+def expire_rows(df: DataFrame, rows: DataFrame, at: Column, on: tuple[str, ...], only: str = "") -> DataFrame:
+    """HEXPIRE, FIELDEXPIRE, SADDEX, HSETEX: expiry of fields or members, on the conditions of ``expire``."""
+    whole = df.withColumn("__key", F.col("key")).withColumn("key", F.struct(*on))
+    return expire(whole, rows.select(F.struct(*on).alias("key")), at, only).withColumn("key", F.col("__key")).drop("__key")
+
+
 def card(df: DataFrame) -> DataFrame:
     """LLEN, SCARD, HLEN, ZCARD, XLEN: rows by key."""
     return df.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -288,14 +371,23 @@ def combine(df: DataFrame, keys: list[str], *, how: str = "union", weights: list
 
 
 def zadd(df: DataFrame, new: DataFrame, *, only: str = "", incr: bool = False) -> DataFrame:
-    """``only``: NX, XX, GT (raise only) or LT (lower only); ``incr`` adds scores up."""
-    both = df.select("key", "member", "score").join(new.select("key", "member", F.col("score").alias("new")), ["key", "member"], "full_outer")
+    """``only``: NX (the first of new ones), XX, GT (raise only) or LT (lower only); ``incr`` adds scores up. Of repeated new
+    members the last counts, the greatest with GT and the least with LT."""
+    only = only.upper()
+    rows = _ordered(new).groupBy("key", "member")
+    score = F.sum("score") if incr else {"NX": F.min_by("score", "ordinal"), "GT": F.max("score"), "LT": F.min("score")}.get(only, F.max_by("score", "ordinal"))
+    both = df.select("key", "member", "score").join(rows.agg(score.alias("new")), ["key", "member"], "full_outer")
     old, want = F.col("score"), F.col("new")
     want = F.coalesce(old, F.lit(0.0)) + want if incr else want
-    keep = {"": want, "NX": F.coalesce(old, want), "XX": F.when(old.isNotNull(), F.coalesce(want, old)), "GT": F.greatest(old, want), "LT": F.least(old, want)}[only.upper()]
+    keep = {"": want, "NX": F.coalesce(old, want), "XX": F.when(old.isNotNull(), F.coalesce(want, old)), "GT": F.greatest(old, want), "LT": F.least(old, want)}[only]
     return both.select("key", "member", F.coalesce(keep, old).alias("score")).filter("score is not null")
 
 
+def remove_by(df: DataFrame, range_: DataFrame) -> DataFrame:
+    """ZREMRANGEBYRANK, ZREMRANGEBYSCORE, ZREMRANGEBYLEX: all but what one of the ranges gives."""
+    return df.join(range_.select("key", "member"), ["key", "member"], "left_anti")
+
+
 # --- sorting with lookups
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def entry_id(ms: str = "ms", seq: str = "seq") -> Column:
@@ -94,18 +97,26 @@ def lag(df: DataFrame, last: DataFrame) -> DataFrame:
 def throttle(df: DataFrame, *, burst: int, count: int, period: float) -> DataFrame:
     """The generic cell rate algorithm over (key, at: seconds, quantity): each row in its key's order is limited or not.
 
-    A key's rows are one fold, in the JVM; a key with very many rows belongs into the streaming form instead."""
+    Rows are sorted by key and time and pass by once; all that is held is the time up to which the present key is served.
+    ``key`` may have any type."""
     interval = period / count
     limit = interval * (burst + 1)
-    rows = F.array_sort(F.collect_list(F.struct("at", "quantity")))
-
-    def step(state: Column, x: Column) -> Column:
-        tat = F.greatest(state["tat"], x["at"])
-        new = tat + interval * x["quantity"]
-        limited = x["at"] < new - limit
-        out = F.struct(x["at"].alias("at"), x["quantity"].alias("quantity"), limited.alias("limited"), F.floor((limit - (F.when(limited, tat).otherwise(new) - x["at"])) / interval).cast("long").alias("remaining"))
-        return F.struct(F.when(limited, state["tat"]).otherwise(new).alias("tat"), F.concat(state["out"], F.array(out)).alias("out"))
-
-    start = F.struct(F.lit(-1e300).alias("tat"), F.array().cast("array<struct<at:double,quantity:double,limited:boolean,remaining:bigint>>").alias("out"))
-    typed = df.select("key", F.col("at").cast("double").alias("at"), F.col("quantity").cast("double").alias("quantity"))
-    return typed.groupBy("key").agg(F.aggregate(rows, start, step).alias("x")).select("key", F.explode("x.out").alias("r")).select("key", "r.*")
+    rows = df.select("key", F.col("at").cast("double").alias("at"), F.col("quantity").cast("double").alias("quantity"))
+
+    def run(batches):
+        key, tat = None, None
+        for pdf in batches:
+            limited, remaining = [], []
+            for k, at, quantity in zip(pdf["key"], pdf["at"], pdf["quantity"], strict=True):
+                if tat is None or k != key:
+                    key, tat = k, -math.inf
+                base = max(tat, at)
+                new = base + interval * quantity
+                over = at < new - limit
+                limited.append(over)
+                remaining.append(math.floor((limit - ((base if over else new) - at)) / interval))
+                tat = tat if over else new
+            yield pdf.assign(limited=limited, remaining=remaining)
+
+    out = T.StructType([*rows.schema.fields, T.StructField("limited", T.BooleanType()), T.StructField("remaining", T.LongType())])
+    return rows.repartition("key").sortWithinPartitions("key", "at", "quantity").mapInPandas(run, out)

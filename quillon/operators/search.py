@@ -34,7 +34,7 @@ def value(index: Index, f: Field) -> Column:
 
 
 def tokens(index: Index, f: Field) -> Column:
-    return text.without(text.tokens(value(index, f)), index.stopwords)
+    return text.tokens(value(index, f), index.stopwords)
 
 
 def tags_of(index: Index, f: Field) -> Column:
@@ -68,18 +68,25 @@ def _synonyms(index: Index, term: str) -> list[str]:
     return sorted({term, *(group or ())})
 
 
-def _on_text(node: Node, words: Column, index: Index) -> Column | None:
-    """A predicate on one field's words; None for what is left out (stopwords)."""
+def _on_text(node: Node, index: Index, f: Field) -> Column | None:
+    """A predicate on one field's words; None for what is left out (stopwords). Texts are cut into words only where their
+    characters don't rule the words out."""
+    words, raw_text = tokens(index, f), value(index, f)
+
+    def where(terms: list[str], found: Column) -> Column:
+        return F.coalesce(text.may_hold(raw_text, terms), F.lit(False)) & found
+
     if node.kind == "term":
         terms = text.words_of(node.value)
         if len(terms) == 1:
-            return None if terms[0] in index.stopwords else text.has_any(words, _synonyms(index, terms[0]))
+            same = _synonyms(index, terms[0])
+            return None if terms[0] in index.stopwords else where(same, text.has_any(words, same))
         node = Node("phrase", (), (node.value, 0))
     if node.kind == "phrase":
         terms = [w for w in text.words_of(node.value[0]) if w not in index.stopwords]
-        return text.has_phrase(words, terms, node.value[1]) if terms else F.lit(False)
+        return where([max(terms, key=len)], text.has_phrase(words, terms, node.value[1])) if terms else F.lit(False)
     if node.kind == "affix":
-        return text.has_affix(words, *node.value)
+        return where([node.value[1]], text.has_affix(words, *node.value))
     if node.kind == "glob":
         return text.has_glob(words, node.value)
     raise ValueError(f"{node.kind} doesn't go with text")
@@ -125,7 +132,7 @@ def predicate(node: Node, index: Index, field: Field | None = None) -> Column |
     fields = [field] if field else [f for f in index.fields if f.kind == TEXT and not f.noindex]
     if field and field.kind == TAG:
         return text.has_any(tags_of(index, field), [str(node.value).lower()])
-    found = [_on_text(node, tokens(index, f), index) for f in fields]
+    found = [_on_text(node, index, f) for f in fields]
     found = [p for p in found if p is not None]
     return functools.reduce(lambda a, b: a | b, found) if found else None
 
@@ -200,12 +207,64 @@ def scored_terms(node: Node, index: Index, weight: float = 1.0, field: str | Non
 
 
 def scores(df: DataFrame, index: Index, query: str | Query, scorer: str = "BM25STD") -> DataFrame:
-    """(__key, __score) of documents that hold a term of the query.
-
-    Words are counted by document and field; the corpus statistics are one row for each field and one for each term, so
-    that a broadcast of the query's few terms and a join on the term suffice."""
+    """(__key, __score) of documents that hold a term of the query."""
     q = parse(query) if isinstance(query, str) else query
     terms = scored_terms(q.where, index)
+    if terms and all(k == "exact" for _, k, _ in terms):
+        out = _exact_scores(df, index, terms, scorer)
+    else:
+        out = _pattern_scores(df, index, terms, scorer)
+    if scorer.endswith("NORM") and scorer.startswith("BM25"):
+        best = out.agg(F.max("__score").alias("best"))
+        return out.crossJoin(F.broadcast(best)).select("__key", F.when(F.col("best") > 0, F.col("__score") / F.col("best")).otherwise(0.0).alias("__score"))  # one row
+    return out.withColumn("__score", F.tanh(F.col("__score") / TANH)) if scorer.endswith("TANH") else out
+
+
+def _one(scorer: str, tf: Column, n: Column, df_: Column, length: Column, mean: Column) -> Column:
+    """What a term adds to a document's score."""
+    if scorer.startswith("BM25"):
+        idf = F.log(F.lit(1.0) + (n - df_ + 0.5) / (df_ + 0.5))
+        return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+    if scorer.startswith("TFIDF"):
+        return F.log(n / df_) * tf / (length if scorer.endswith("DOCNORM") else F.lit(1.0))
+    raise ValueError(f"unknown scorer {scorer}")
+
+
+def _exact_scores(df: DataFrame, index: Index, terms: dict, scorer: str) -> DataFrame:
+    """For whole words: one pass gives the corpus statistics as one row, another scores by themselves the documents whose
+    texts may hold a word. Nothing is shuffled but that row."""
+    fields = [f for f in index.fields if f.kind == TEXT and not f.noindex]
+    wanted = [(f, t, w) for f in fields for (of, _, t), w in terms.items() if of in (None, f.name)]
+    admitted = admit(df, index)
+
+    def count(f: Field, term: str) -> Column:
+        return F.size(F.filter(f"__words_{f.name}", lambda w: w == term)).cast("double")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        rows = rows.select("__key", *(tokens(index, f).alias(f"__words_{f.name}") for f in fields))
+        return rows.select("__key", *(F.size(f"__words_{f.name}").cast("double").alias(f"__length_{f.name}") for f in fields), *(count(f, t).alias(f"__tf_{k}") for k, (f, t, _) in enumerate(wanted)))
+
+    stats = counted(admitted).agg(
+        F.count("__key").cast("double").alias("__docs"),
+        *(F.avg(F.when(F.col(f"__length_{f.name}") > 0, F.col(f"__length_{f.name}"))).alias(f"__mean_{f.name}") for f in fields),
+        *(F.sum((F.col(f"__tf_{k}") > 0).cast("double")).alias(f"__df_{k}") for k in range(len(wanted))),
+    )
+    any_ = lambda tests: functools.reduce(lambda a, b: a | b, tests, F.lit(False))
+    may = any_(F.coalesce(text.may_hold(value(index, f), [t for g, t, _ in wanted if g is f]), F.lit(False)) for f in fields if any(g is f for g, _, _ in wanted))
+
+    def part(k: int, f: Field, weight: float) -> Column:
+        tf = F.col(f"__tf_{k}")
+        one = _one(scorer, F.lit(f.weight) * tf, F.col("__docs"), F.col(f"__df_{k}"), F.col(f"__length_{f.name}"), F.col(f"__mean_{f.name}"))
+        return F.when(tf > 0, one * F.lit(float(weight))).otherwise(0.0)
+
+    total = functools.reduce(lambda a, b: a + b, (part(k, f, w) for k, (f, _, w) in enumerate(wanted)), F.lit(0.0))
+    held = any_(F.col(f"__tf_{k}") > 0 for k in range(len(wanted)))
+    scored = counted(admitted.filter(may)).crossJoin(F.broadcast(stats)).select("__key", F.when(held, total).alias("__score"))  # one row
+    return scored.filter("__score is not null")
+
+
+def _pattern_scores(df: DataFrame, index: Index, terms: dict, scorer: str) -> DataFrame:
+    """For prefixes, suffixes and infixes, whose words only the documents know: words that some pattern matches are counted."""
     docs = admit(df, index)
     spark = df.sparkSession
     fields = [f for f in index.fields if f.kind == TEXT and not f.noindex]
@@ -223,25 +282,11 @@ def scores(df: DataFrame, index: Index, query: str | Query, scorer: str = "BM25S
     hits = words.select("__key", "field", "field_weight", F.size("words").cast("double").alias("length"), F.explode(F.filter("words", wanted)).alias("term")).groupBy("__key", "field", "field_weight", "length", "term").agg(F.count("term").cast("double").alias("tf"))
     table = spark.createDataFrame([(f, k, t, float(w)) for (f, k, t), w in terms.items()] or [(None, "exact", "", 0.0)], "of string, kind string, pattern string, weight double")
     cond = (F.col("of").isNull() | (F.col("of") == F.col("field"))) & F.when(F.col("kind") == "exact", F.col("term") == F.col("pattern")).when(F.col("kind") == "prefix", F.col("term").startswith(F.col("pattern"))).when(F.col("kind") == "suffix", F.col("term").endswith(F.col("pattern"))).otherwise(F.col("term").contains(F.col("pattern")))
-    if all(k == "exact" for _, k, _ in terms):
-        hits = hits.join(F.broadcast(table), (F.col("term") == F.col("pattern")) & (F.col("of").isNull() | (F.col("of") == F.col("field"))))
-    else:  # a few patterns, each against the few terms that some pattern matched
-        hits = hits.join(F.broadcast(table), cond)
+    hits = hits.join(F.broadcast(table), cond)  # the query's few patterns, each against the few terms that some pattern matched
     by_term = hits.groupBy("field", "term").agg(F.countDistinct("__key").cast("double").alias("df"))
     hits = hits.join(F.broadcast(lengths), "field").join(by_term, ["field", "term"]).crossJoin(F.broadcast(total))  # one row
-    tf, n, df_ = F.col("field_weight") * F.col("tf"), F.col("docs"), F.col("df")
-    if scorer.startswith("BM25"):
-        idf = F.log(F.lit(1.0) + (n - df_ + 0.5) / (df_ + 0.5))
-        one = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    elif scorer.startswith("TFIDF"):
-        one = F.log(n / df_) * tf / (F.col("length") if scorer.endswith("DOCNORM") else F.lit(1.0))
-    else:
-        raise ValueError(f"unknown scorer {scorer}")
-    out = hits.groupBy("__key").agg(F.sum(one * F.col("weight")).alias("__score"))
-    if scorer.endswith("NORM") and scorer.startswith("BM25"):
-        best = out.agg(F.max("__score").alias("best"))
-        return out.crossJoin(F.broadcast(best)).select("__key", F.when(F.col("best") > 0, F.col("__score") / F.col("best")).otherwise(0.0).alias("__score"))
-    return out.withColumn("__score", F.tanh(F.col("__score") / TANH)) if scorer.endswith("TANH") else out
+    one = _one(scorer, F.col("field_weight") * F.col("tf"), F.col("docs"), F.col("df"), F.col("length"), F.col("mean"))
+    return hits.groupBy("__key").agg(F.sum(one * F.col("weight")).alias("__score"))
 
 
 def hybrid(

@@ -146,6 +146,13 @@ def bit_operation(df: DataFrame, keys: list[str], op: str) -> DataFrame:
     return n.filter(cond).select("bit")
 
 
+def bit_not(df: DataFrame, key) -> DataFrame:
+    """BITOP NOT: (bit) of those that a bitmap lacks, up to the end of its last byte."""
+    own = df.filter(F.col("key") == key).select("bit").distinct()
+    end = own.agg(((F.floor(F.max("bit") / 8) + 1) * 8).alias("end")).filter("end is not null")
+    return end.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("end") - 1)).alias("bit")).join(own, "bit", "left_anti")
+
+
 def bit_field(value: Column, offset: int, bits: int, signed: bool = False) -> Column:
     """A field of a 64-bit word; offset 0 is the highest bit."""
     raw = F.shiftrightunsigned(F.shiftleft(value, offset), 64 - bits)

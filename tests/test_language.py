@@ -280,3 +280,62 @@ def test_streaming(spark, tmp_path):
     done = streams.consume(streams.subscribe(stream.withColumnRenamed("key", "channel"), "k*"), "group", str(tmp_path / "cp"), str(tmp_path / "out"))
     done.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+def test_later_rows_replace_earlier_ones(spark):
+    old = spark.createDataFrame([("a", "5"), ("b", "x")], "key string, value string")
+    new = spark.createDataFrame([(0, "c", "x"), (1, "c", "y"), (2, "a", "9")], "ordinal int, key string, value string")
+    assert table(ks.upsert(old, new), "key", "value") == [("a", "9"), ("b", "x"), ("c", "y")]
+    assert table(ks.upsert(old, new, only="NX"), "key", "value") == [("a", "5"), ("b", "x"), ("c", "x")]
+    scored = spark.createDataFrame([("k", "m", 2.0), ("k", "m", 3.0)], "key string, member string, score double")
+    none = scored.limit(0)
+    assert [table(ks.zadd(none, scored, only=o), "member", "score") for o in ("", "NX", "GT", "LT")] == [[("m", s)] for s in (3.0, 2.0, 3.0, 2.0)]
+    assert table(ks.zadd(none, scored, incr=True), "member", "score") == [("m", 5.0)]
+
+
+def test_copy_of_a_missing_key_changes_nothing(spark):
+    df = spark.createDataFrame([("a", "5"), ("b", "x")], "key string, value string")
+    assert table(ks.copy(df, "zz", "b", replace=True), "key", "value") == [("a", "5"), ("b", "x")]
+    assert table(ks.copy(df, "a", "b", replace=True), "key", "value") == [("a", "5"), ("b", "5")]
+    assert table(ks.copy(df, "a", "b"), "key", "value") == [("a", "5"), ("b", "x")]
+
+
+def test_set_range_counts_bytes(spark):
+    one = spark.createDataFrame([("éé",)], "x string")
+    assert one.select(ks.set_range(F.col("x"), 2, "Z"), ks.set_range(F.col("x"), 2, "ab"), ks.set_range(F.col("x"), 5, "")).first() == ("éZ�", "éab", "éé")
+
+
+def test_timefmt_has_all_directives(spark):
+    import datetime
+
+    from quillon.functions import expr
+
+    times = (0.0, 1767225600.0, 1773532800.0, 951782399.0)
+    df = spark.createDataFrame([(t,) for t in times], "ts double")
+    for fmt in ("%e %s", "%G-W%V-%u %g", "%U %W %w %j %C %y", "%c|%q|%", "%k %l %I %p %P", "%D %R %r %h %n%t%%", "it's %A, %B %d"):
+        got = df.select("ts", expr.compile_text(f'timefmt(@ts, "{fmt}")', lambda n: expr.number(F.col(n))).col.alias("x"))
+        assert {r.ts: r.x for r in got.collect()} == {t: datetime.datetime.fromtimestamp(t, datetime.UTC).strftime(fmt) for t in times}, fmt
+    number = lambda n: expr.number(F.col(n))
+    assert df.select(expr.compile_text("nothing(@ts)", number).col, expr.compile_text("abs(@ts, 1)", number).col).first() == (None, None)
+
+
+def test_negative_index_beyond_the_first(spark):
+    one = spark.createDataFrame([('{"a":[1,2,3]}',)], "doc string")
+    assert one.select(jsonpath.get(F.col("doc"), "$.a[-5]"), jsonpath.get(F.col("doc"), "$.a[-1]"), jsonpath.get(F.col("doc"), "$.a[3]")).first() == ("[1]", "[3]", "[]")
+
+
+def test_json_lengths(spark):
+    doc = '{"a":"héy","b":[1,"x",true,null,2.5],"o":{"p":1},"n":5,"t":"[1]"}'
+    d = F.col("doc")
+    one = spark.createDataFrame([(doc,), ("[1,2]",), (None,)], "doc string")
+    got = one.select(jsonpath.length(d, "$.a"), jsonpath.length(d, "$.b"), jsonpath.length(d, "$.o"), jsonpath.length(d, "$.n"), jsonpath.length(d, "$.t"), jsonpath.length(d)).collect()
+    assert [tuple(r) for r in got] == [(4, 5, 1, None, 3, 5), (None, None, None, None, None, 2), (None,) * 6]
+    assert one.select(jsonpath.index_of(d, "$.b", '"x"'), jsonpath.index_of(d, "$.b", "2.5", -1), jsonpath.index_of(d, "$.b", "1", 1), jsonpath.index_of(d, "$.a", "1")).first() == (1, 4, -1, None)
+
+
+def test_bit_not(spark):
+    from quillon.operators import sketches
+
+    bits = spark.createDataFrame([(1, 0), (1, 9), (2, 3)], "key int, bit long")
+    assert table(sketches.bit_not(bits, 1), "bit") == [(b,) for b in range(16) if b not in (0, 9)]
+    assert table(sketches.bit_not(bits, 7), "bit") == []

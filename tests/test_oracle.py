@@ -3,7 +3,7 @@
 import pytest
 from compare import connected, differs
 
-from quillon.queries import ORACLES, QUERIES
+from quillon.command_queries import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -30,9 +30,9 @@ def test_entry(spark):
 
 def test_json_path_max_of_all_orders(spark, sf):
     keys = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().count()
-    assert QUERIES["json_path_max_all"](spark, sf).count() == keys
+    assert QUERIES["json_path_max"](spark, sf).count() == keys
 
 
 def test_geo_position_of_all_customers(spark, sf):
-    got = QUERIES["geo_position_all"](spark, sf)
+    got = QUERIES["geo_position"](spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/customer.parquet").count() and got.filter("lat = -85").count() > 0
