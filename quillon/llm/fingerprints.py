@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import Scratch
+
 K, SHINGLE = 128, 5
 SPACES = r"[\x20\x09-\x0D]+"
 #: Rows of a bucket of ids in which a document finds its successor.
@@ -97,14 +99,19 @@ def fingerprints(docs: DataFrame, *, k: int = K, size: int = SHINGLE) -> DataFra
     document (ascending doc_id; after the last comes the first). Returns doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint (hashes in hexadecimal), near_edited, near_next, distinct_shingles. Null is the empty text; empty
     and blank texts have an empty fingerprint, and two of those are fully alike. Of rows that repeat a doc_id, ordered by
-    text, each is followed by the next. Other columns are ignored. An empty table gives none.
+    text, each is followed by the next; rows without one come last. Other columns are ignored. An empty table gives none.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumn("bucket", F.floor(F.col("doc_id") / BUCKET).cast("long")).withColumn("sketch", sketch(F.col("text"), k, size))
-    order = Window.partitionBy("bucket").orderBy("doc_id", "text")
-    rows = base.withColumns({"next_text": F.lead("text").over(order), "next_sketch": F.lead("sketch").over(order), "place": F.row_number().over(order)})
-    first = rows.filter("place = 1").select(F.col("bucket").alias("next"), F.col("text").alias("first_text"), F.col("sketch").alias("first_sketch"))
-    after = successors(docs.select(F.floor(F.col("doc_id").cast("long") / BUCKET).cast("long").alias("bucket")).distinct(), "bucket").join(first, "next").drop("next")
+    place = F.coalesce("doc_id", F.lit((1 << 63) - 1))  # null ids come last
+    base = base.withColumn("bucket", F.floor(place / BUCKET).cast("long")).withColumn("sketch", sketch(F.col("text"), k, size))
+    base = Scratch(docs.sparkSession, "fingerprints").keep(base, "sketched")  # so that each text is sketched once
+    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_last(), "text")
+    rows = base.withColumns({"next_text": F.lead("text").over(order), "next_sketch": F.lead("sketch").over(order)})
+    # the first row of each bucket, by the least of its ids, so that no text is sorted or compared for it
+    least = base.groupBy("bucket").agg(F.min(place).alias("least"))
+    heads = base.join(least, "bucket").filter(place == F.col("least"))
+    first = heads.groupBy("bucket").agg(F.min_by(F.struct("text", "sketch"), "text").alias("x")).select(F.col("bucket").alias("next"), F.col("x.text").alias("first_text"), F.col("x.sketch").alias("first_sketch"))
+    after = successors(base.select("bucket").distinct(), "bucket").join(first, "next").drop("next")
     rows = rows.join(after, "bucket", "left")
     next_text = F.coalesce("next_text", "first_text")
     half = F.floor(F.length("text") / 2).cast("int")

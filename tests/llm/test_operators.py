@@ -345,3 +345,89 @@ def test_candidates_grow_with_the_members(spark, monkeypatch):
         made.append((seen["members"], seen["first"], seen["pairs"]))
     assert all(b <= 6 * a + 50 for a, b in zip(*made, strict=True)), made
     assert made[1][2] <= 4 * 600, made
+
+
+def test_fingerprints_of_repeated_and_null_ids(spark):
+    """Rows of one id follow each other by text, rows without an id come last."""
+    rows = [(5, "five five"), (None, "nothing b"), (3, "b text of three"), (3, "a text of three"), (None, "nothing a"), (10**13, "far away")]
+    got = {(r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    want = set()
+    for k, (i, t) in enumerate(order):
+        half = len(t) // 2
+        want.add((i, len(t), hashlib.sha256((t[: len(t) - half] + order[(k + 1) % len(order)][1][:half]).encode()).hexdigest()))
+    assert got == want
+
+
+def test_language_against_loops(spark):
+    """Profiles, prototypes and cosines by plain loops over letters; ties go to the language that sorts first."""
+    texts_ = [(k, " ".join(random.choices(["the", "then", "Übung", "ab1c"][k % 2 :], k=6)), "ba"[k % 2]) for k in range(8)] + [(90, "?? 12", "a"), (91, "", "b")]
+    vectors = {}
+
+    def vector(c):
+        if c not in vectors:
+            vectors[c] = langid.letter_vectors(np.array([c], np.int64))[0].astype(int)
+        return vectors[c]
+
+    def bundle(text):
+        out, runs = np.zeros(langid.DIM, int), [0]
+        for c in text.lower():
+            if c.isalpha():
+                runs.append(ord(c))
+            elif runs[-1]:
+                runs.append(0)
+        runs += [0] if runs[-1] else []
+        for a, b, c in zip(runs, runs[1:], runs[2:], strict=False):
+            if b:
+                out += vector(a) * np.roll(vector(b), 1) * np.roll(vector(c), 2)
+        return out
+
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-9)
+    prototypes = {}
+    for _, t, lang in texts_:
+        prototypes[lang] = prototypes.get(lang, 0) + unit(bundle(t))
+    df = spark.createDataFrame(texts_, "doc_id long, text string, lang string")
+    got = by_id(langid.predict_language(df, langid.learn(df)), "lang_pred", "score")
+    for i, t, _ in texts_:
+        own = unit(bundle(t))
+        near = {lang: float(own @ unit(p)) for lang, p in prototypes.items()}
+        best = min(near, key=lambda x: (-round(near[x], 5), x))
+        assert got[i][0] == (best if own.any() else "und")
+        assert abs(got[i][1] - (max(0.0, near[best]) if own.any() else 0.0)) < 1e-4
+    same = df.filter("doc_id < 8").select("doc_id", "text", F.explode(F.array(F.lit("y"), F.lit("x"))).alias("lang"))
+    assert {x for x, in by_id(langid.predict_language(same, langid.learn(same)), "lang_pred").values()} == {"x"}
+
+
+def test_quality_scores_against_loops(spark):
+    """The score of a document is the softmax of the mean of its words' and n-grams' learned vectors."""
+    raw = ["good words here", "BAD!! BAD!!", "x", ""]
+    labels_ = [1, 0, 1, 0]
+    weights, bias = quality.train(raw, labels_)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(raw)] * 2, "doc_id long, text string")
+    got = quality.quality_scores(df, spark.createDataFrame(list(enumerate(labels_)) , "doc_id long, quality int")).collect()
+    assert len(got) == 8
+    two = {r.doc_id: r.score for r in got}
+    weights, bias = quality.train([t for t in raw for _ in range(2)], [x for x in labels_ for _ in range(2)])
+    for k, t in enumerate(raw):
+        ids = []
+        data = np.frombuffer(t.encode(), np.uint8)
+        for w in t.split():
+            at = t.index(w)
+            b, e = np.array([at]), np.array([at + len(w)])
+            ids.append(int(quality.word_hashes(data, b, e)[0] >> np.uint64(48)))
+        for n in quality.GRAMS:
+            for i in range(len(data) - n + 1):
+                ids.append(int(quality.mixed(quality.grams(quality.BYTE[data[i : i + n]], n))[0] >> np.uint64(48)) + quality.BUCKETS)
+        z = sum(float(weights[i]) for i in ids) / max(len(ids), 1) + bias
+        assert abs(two[k] - 1 / (1 + np.exp(-z))) < 1e-5
+
+
+def test_held_out_accuracy_on_documents(spark, sf):
+    """Learned without the rows that are held out, both classifiers are right on nearly all of these."""
+    from quillon.llm import queries
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    lang = queries.op7_language_id(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out and lang is not null and lang_pred <> 'und'")
+    assert lang.filter("lang_pred = lang").count() >= 0.97 * lang.count() > 20
+    quality_ = queries.op3_quality_classifier(spark, sf).join(labels, "doc_id").filter("held_out and quality is not null")
+    assert quality_.filter("predicted = quality").count() >= 0.8 * quality_.count() > 5
