@@ -23,7 +23,7 @@ from .tables import Scratch, batch, text_bytes
 
 WINDOW, GRAM = 50, 16
 #: Words of text in a block, and runs of windows with one anchor beyond which its windows are dealt by their content.
-BLOCK, HOT = 1 << 20, 4096
+BLOCK, HOT = 1 << 16, 4096
 
 
 def longest_earlier(shared: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:

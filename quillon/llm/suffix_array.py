@@ -21,7 +21,7 @@ from .tables import Scratch, batch, spans, text_bytes
 
 WINDOW, GRAM = 100, 32
 #: Bytes of text in a shard, and runs of windows with one anchor beyond which its windows are dealt by their content.
-SHARD, HOT = 1 << 21, 4096
+SHARD, HOT = 1 << 18, 4096
 
 
 def _types(s: np.ndarray) -> np.ndarray:
