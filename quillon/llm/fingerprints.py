@@ -11,8 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import Scratch
-
 K, SHINGLE = 128, 5
 SPACES = r"[\x20\x09-\x0D]+"
 #: Rows of a bucket of ids in which a document finds its successor.
@@ -103,14 +101,11 @@ def fingerprints(docs: DataFrame, *, k: int = K, size: int = SHINGLE) -> DataFra
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     place = F.coalesce("doc_id", F.lit((1 << 63) - 1))  # null ids come last
-    base = base.withColumn("bucket", F.floor(place / BUCKET).cast("long")).withColumn("sketch", sketch(F.col("text"), k, size))
-    base = Scratch(docs.sparkSession, "fingerprints").keep(base, "sketched")  # so that each text is sketched once
+    base = base.withColumn("bucket", F.floor(place / BUCKET).cast("long"))
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_last(), "text")
-    rows = base.withColumns({"next_text": F.lead("text").over(order), "next_sketch": F.lead("sketch").over(order)})
-    # the first row of each bucket, by the least of its ids, so that no text is sorted or compared for it
-    least = base.groupBy("bucket").agg(F.min(place).alias("least"))
-    heads = base.join(least, "bucket").filter(place == F.col("least"))
-    first = heads.groupBy("bucket").agg(F.min_by(F.struct("text", "sketch"), "text").alias("x")).select(F.col("bucket").alias("next"), F.col("x.text").alias("first_text"), F.col("x.sketch").alias("first_sketch"))
+    rows = base.withColumn("sketch", sketch(F.col("text"), k, size)).withColumns({"next_text": F.lead("text").over(order), "next_sketch": F.lead("sketch").over(order)})
+    # the first text of each bucket: one a task and bucket is all that is shuffled, and only it is sketched, for this
+    first = base.groupBy(F.col("bucket").alias("next")).agg(F.min_by("text", F.struct(place.alias("place"), "text")).alias("first_text")).withColumn("first_sketch", sketch(F.col("first_text"), k, size))
     after = successors(base.select("bucket").distinct(), "bucket").join(first, "next").drop("next")
     rows = rows.join(after, "bucket", "left")
     next_text = F.coalesce("next_text", "first_text")
