@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import functools
+import shlex
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text, vectors
-from ..functions.values import clean
+from ..functions.values import clean, number_text
 from ..plans.schema import GEO, NUMERIC, TAG, TEXT, VECTOR, Field, Index
 from ..plans.search import Node, Query, parse
 
@@ -156,9 +157,11 @@ def search(
     offset: int = 0,
     limit: int | None = 10,
     scorer: str | None = None,
+    sort_key: bool = False,
 ) -> DataFrame:
     """Rows ``__key`` and fields. ``returns``: names, or name to alias; an empty list gives keys alone. ``sort``: a field and
-    whether it descends; missing values come last both ways. ``scorer`` adds ``__score``, highest first. Ties go by key."""
+    whether it descends; missing values come last both ways. ``scorer`` adds ``__score``, highest first, and ``sort_key`` the ``__sortkey`` of a
+    sort: ``#`` and the number, or ``$`` and the text. Ties go by key."""
     q = parse(query, params)
     found = matching(df, index, q)
     for name, (low, high) in (filters or {}).items():
@@ -178,6 +181,9 @@ def search(
     if sort:
         by = clean(value(index, index.field(sort[0]))) if index.field(sort[0]).kind == NUMERIC else value(index, index.field(sort[0]))
         found = found.withColumn("__sort", by)
+        if sort_key:
+            numeric = index.field(sort[0]).kind == NUMERIC
+            columns["__sortkey"] = F.concat(F.lit("#"), number_text(F.col("__sort"))) if numeric else F.concat(F.lit("$"), F.col("__sort"))
         order = [F.col("__sort").desc_nulls_last() if sort[1] else F.col("__sort").asc_nulls_last(), F.asc("__key")]
     if limit is not None:
         found = found.orderBy(*order)
@@ -185,6 +191,79 @@ def search(
     return found.select("__key", *(c.alias(a) for a, c in columns.items()))
 
 
+def search_command(command: str, tables: dict[str, tuple[DataFrame, Index]], params: dict[str, Any] | None = None) -> DataFrame:
+    """Runs ``index query option...``, for instance ``docs 'night owl' RETURN 1 title SORTBY year DESC LIMIT 0 5``.
+
+    Options: NOCONTENT, RETURN n field [AS alias]... (n counts words), LIMIT offset count (0 and 10 by default), SORTBY field
+    [ASC|DESC], FILTER field low high (``(`` before a bound leaves it out), PARAMS n name value..., SCORER name, WITHSCORES,
+    WITHSORTKEYS, and DIALECT n and TIMEOUT n, which change nothing here. ``params``: values that no text has, as vectors.
+    """
+    words = shlex.split(command)
+    if len(words) < 2:
+        raise ValueError("a search needs an index and a query")
+    (name, text_), rest = words[:2], words[2:]
+    how: dict[str, Any] = {"params": dict(params or {}), "filters": {}}
+    bounds: list[str] = []
+
+    def given(n: int) -> list[str]:
+        if len(rest) < n:
+            raise ValueError(f"an option ends early in {command!r}")
+        out = rest[:n]
+        del rest[:n]
+        return out
+
+    def counted() -> list[str]:
+        return given(int(given(1)[0]))
+
+    while rest:
+        option = given(1)[0].upper()
+        if option == "NOCONTENT":
+            how["returns"] = []
+        elif option == "RETURN":
+            fields = counted()
+            how.setdefault("returns", {})
+            while fields:
+                field = fields.pop(0)
+                alias = field
+                if len(fields) >= 2 and fields[0].upper() == "AS":
+                    alias, fields = fields[1], fields[2:]
+                if isinstance(how["returns"], dict):
+                    how["returns"][field] = alias
+        elif option == "LIMIT":
+            how["offset"], how["limit"] = map(int, given(2))
+        elif option == "SORTBY":
+            field = given(1)[0].lstrip("@")
+            way = given(1)[0].upper() if rest and rest[0].upper() in ("ASC", "DESC") else "ASC"
+            how["sort"] = (field, way == "DESC")
+        elif option == "FILTER":
+            field, low, high = given(3)
+            bounds.append(f"@{field}:[{low} {high}]")
+        elif option == "PARAMS":
+            pairs = counted()
+            how["params"] |= dict(zip(pairs[::2], map(_plain, pairs[1::2]), strict=True))
+        elif option in ("SCORER", "WITHSCORES"):
+            how["scorer"] = given(1)[0].upper() if option == "SCORER" else how.get("scorer") or "BM25STD"
+        elif option == "WITHSORTKEYS":
+            how["sort_key"] = True
+        elif option in ("DIALECT", "TIMEOUT"):
+            given(1)
+        else:
+            raise ValueError(f"unknown option {option}")
+    if bounds:  # a nearest-neighbour part stays behind the conditions
+        where, arrow, nearest = text_.partition("=>[")
+        text_ = " ".join([f"({where})" if where.strip() != "*" else "", *bounds]).strip() + arrow + nearest
+    df, index = tables[name]
+    return search(df, index, text_, **how)
+
+
+def _plain(value: str) -> float | str:
+    """A parameter as a number, if it is one."""
+    try:
+        return float(value)
+    except ValueError:
+        return value
+
+
 def scored_terms(node: Node, index: Index, weight: float = 1.0, field: str | None = None) -> dict[tuple[str | None, str, str], float]:
     """(field, kind, term) to weight: each once, weights added up. Negated parts don't score."""
     out: dict = {}

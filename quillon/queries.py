@@ -12,7 +12,7 @@ from .functions import geo, jsonpath
 from .operators import keyspace as ks
 from .operators import logs, sketches
 from .operators.aggregate import Pipeline, aggregate
-from .operators.search import hybrid, matching, scores, search, tag_values
+from .operators.search import hybrid, matching, scores, search, search_command, tag_values
 from .plans.schema import GEO, NUMERIC, TAG, TEXT, VECTOR, Field, Index
 from .sources.tables import changes, table
 
@@ -204,6 +204,23 @@ def search_return_sort_filter(spark, sf):
     return search(df, index, "@segment:{BUILDING}", returns={"name": "who", "balance": "balance"}, filters={"balance": (0, 9000)}, sort=("balance", True), offset=5, limit=20)
 
 
+def searching(name: str, text_: str, sql: str, rounded: str | None = None) -> None:
+    """A query that is a search command."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = search_command(text_, frames(spark, sf))
+        return df.withColumn(rounded, F.round(rounded, 6)) if rounded else df
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+searching("ft_search_return_sort", "customers '@segment:{BUILDING}' RETURN 4 name AS who balance SORTBY balance DESC FILTER balance 0 9000 LIMIT 5 20", "SELECT c_custkey::VARCHAR AS \"__key\", c_name AS who, c_acctbal AS balance FROM customer WHERE c_mktsegment='BUILDING' AND c_acctbal BETWEEN 0 AND 9000 ORDER BY balance DESC, 1 LIMIT 20 OFFSET 5")
+searching("ft_search_nocontent_params", "customers '@nation:[$a $b]' NOCONTENT PARAMS 4 a 3 b 5 SORTBY name LIMIT 0 15 DIALECT 2", "SELECT c_custkey::VARCHAR AS \"__key\" FROM customer WHERE c_nationkey BETWEEN 3 AND 5 ORDER BY c_name, 1 LIMIT 15")
+searching("ft_search_sort_keys", "customers * RETURN 1 nation SORTBY name WITHSORTKEYS LIMIT 2 12", "SELECT c_custkey::VARCHAR AS \"__key\", c_nationkey::DOUBLE AS nation, '$'||c_name AS \"__sortkey\" FROM customer ORDER BY c_name, 1 LIMIT 12 OFFSET 2")
+searching("ft_search_open_filter", "customers * NOCONTENT FILTER nation (3 7 FILTER balance -inf (0 LIMIT 0 1000000", "SELECT c_custkey::VARCHAR AS \"__key\" FROM customer WHERE c_nationkey>3 AND c_nationkey<=7 AND c_acctbal<0")
+
+
 @query("SELECT DISTINCT unnest(string_split(lower(p_type),' ')) AS tag FROM part")
 def search_tag_values(spark, sf):
     return tag_values(*frames(spark, sf)["parts"], "type")
@@ -295,6 +312,9 @@ def hybrid_linear(spark, sf):
     return hybrid(_hybrid_docs(spark, sf), HYBRID, "license", "v", query_vector(spark, sf), k=20, combine="LINEAR", alpha=0.7, beta=0.3).select(F.col("__key").alias("id"), F.round("__score", 6).alias("score"))
 
 
+searching("ft_search_with_scores", "docs license NOCONTENT WITHSCORES LIMIT 0 20", f"{_HYBRID} SELECT k AS \"__key\", round(score,6) AS \"__score\" FROM x ORDER BY x.score DESC, k LIMIT 20", "__score")
+
+
 # --- sorted sets, sets, lists, hashes, strings
 
 

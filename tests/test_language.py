@@ -339,3 +339,18 @@ def test_bit_not(spark):
     bits = spark.createDataFrame([(1, 0), (1, 9), (2, 3)], "key int, bit long")
     assert table(sketches.bit_not(bits, 1), "bit") == [(b,) for b in range(16) if b not in (0, 9)]
     assert table(sketches.bit_not(bits, 7), "bit") == []
+
+
+def test_search_command_options(spark):
+    from quillon.operators.search import search_command
+
+    df = spark.createDataFrame([("a", "one two", 1.0), ("b", "two", 2.5), ("c", None, None)], "id string, t string, n double")
+    tables = {"x": (df, Index("x", "id", (Field("t", TEXT), Field("n", NUMERIC))))}
+    run = lambda c: [tuple(r) for r in search_command(c, tables).collect()]
+    assert run("x * SORTBY n DESC WITHSORTKEYS RETURN 3 t AS words") == [("b", "two", "#2.5"), ("a", "one two", "#1"), ("c", None, None)]
+    assert run("x two NOCONTENT LIMIT 1 5") == [("b",)]
+    assert run("x '@n:[$low 9]' NOCONTENT PARAMS 2 low 2 TIMEOUT 5") == [("b",)]
+    assert run("x 'one | two' NOCONTENT FILTER n -inf (2.5") == [("a",)]
+    for wrong in ("x", "x * LIMIT 1", "x * RETURN", "x * NOSUCH"):
+        with pytest.raises((ValueError, IndexError)):
+            run(wrong)
