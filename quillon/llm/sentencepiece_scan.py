@@ -253,7 +253,7 @@ def encode(docs: DataFrame, model: str = MODEL, *, chunk: int = CHUNK) -> DataFr
     """(doc_id, text, key, copy, chunk, ids, enter, past) with ids as 32-bit little-endian integers, for rows of ``docs``.
 
     Texts up to ``chunk`` characters are one row with their text; longer ones are a row for each chunk of as many
-    characters, so that no task holds one whole. The chunks of one document are told from those of another of the same id
+    characters; only the task that cuts it holds such a text whole. The chunks of one document are told from those of another of the same id
     by a hash of the text (``key``). Equal rows of giant documents are encoded once and returned as often as they occur,
     told apart by ``copy`` (from 1; 1 for all short texts, of which each row is one of its own). A chunk's ids begin after
     ``enter`` characters, which the chunk before covers, and end with ``past``, the first characters of the next. Null and
@@ -329,9 +329,6 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return encoded.select("doc_id", "key", "copy", "chunk", "ids").mapInArrow(run, "doc_id long, key long, copy long, chunk long, decoded string")
 
 
-_TOKENS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("chunk", pa.int64()), ("n_chars", pa.int64()), ("n_tokens", pa.int64()), ("digest", pa.string()), ("decoded", pa.binary())])
-
-
 def summary(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """One row for each row that was encoded: doc_id, n_chars, n_tokens, ids_sha256 (over the digests of its chunks), and
     exact: whether decoding gives back the encoded text, of which every character is compared in the chunk that covers it."""
