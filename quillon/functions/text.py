@@ -19,6 +19,7 @@ def tokens(text: Column, stopwords: Iterable[str] = ()) -> Column:
     """Lower-case words in order, without stopwords; a backslash makes the next character part of a word. Null has none."""
     low, drop = F.lower(text), sorted(stopwords)
     escaped = F.transform(F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)), lambda w: F.regexp_replace(w, r"\\(.)", "$1"))
+    escaped = F.filter(escaped, lambda w: ~w.startswith(" "))  # such words are the index's own
     words = F.when(F.contains(low, F.lit("\\")), escaped).otherwise(F.split(low, f"[{re.escape(SEPARATORS)}]+"))
     wanted = F.filter(words, lambda w: (w != "") & ~w.isin(drop) if drop else w != "")
     return F.coalesce(wanted, F.array().cast("array<string>"))

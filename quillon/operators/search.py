@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo, text, vectors
+from ..functions import geo, stem, text, vectors
 from ..functions.values import clean, number_text
 from ..plans.schema import GEO, NUMERIC, TAG, TEXT, VECTOR, Field, Index
 from ..plans.search import Node, Query, parse
@@ -38,6 +38,24 @@ def tokens(index: Index, f: Field) -> Column:
     return text.tokens(value(index, f), index.stopwords)
 
 
+def postings(index: Index, f: Field, words: Column) -> Column:
+    """What words are filed under: themselves, their stems where these differ, and a mark for each word of a synonym group
+    (a space, which no word has, and the group's number). All count toward a text's length."""
+    out = [words]
+    if index.stemmed(f):
+        changed = F.filter(F.zip_with(words, stem.stems(words), lambda w, s: F.when(w != s, s)), lambda s: s.isNotNull())
+        out.append(changed)
+    for k, group in enumerate(index.synonyms):
+        same = F.filter(words, functools.partial(lambda group, w: w.isin(group), sorted(group)))
+        out.append(F.array_repeat(F.lit(f" {k}"), F.size(same)))
+    return F.concat(*out) if len(out) > 1 else words
+
+
+def filed(index: Index, f: Field, term: str) -> str:
+    """What a query's word is looked up as."""
+    return stem.stem(term) if index.stemmed(f) else term
+
+
 def tags_of(index: Index, f: Field) -> Column:
     if f.multi:
         return F.coalesce(F.transform(F.from_json(raw(index, f), "array<string>"), F.lower), F.array().cast("array<string>"))
@@ -70,26 +88,48 @@ def _synonyms(index: Index, term: str) -> list[str]:
 
 
 def _on_text(node: Node, index: Index, f: Field) -> Column | None:
-    """A predicate on one field's words; None for what is left out (stopwords). Texts are cut into words only where their
-    characters don't rule the words out."""
-    words, raw_text = tokens(index, f), value(index, f)
+    """A predicate on one field's words; None for what is left out (stopwords). Texts are cut into words, and words are
+    stemmed, only where the characters don't rule the words out."""
+    words, raw_text, stemmed = tokens(index, f), value(index, f), index.stemmed(f)
 
-    def where(terms: list[str], found: Column) -> Column:
-        return F.coalesce(text.may_hold(raw_text, terms), F.lit(False)) & found
+    def may(parts: list[str]) -> Column:
+        return F.coalesce(text.may_hold(raw_text, parts), F.lit(False))
 
     if node.kind == "term":
         terms = text.words_of(node.value)
         if len(terms) == 1:
             same = _synonyms(index, terms[0])
-            return None if terms[0] in index.stopwords else where(same, text.has_any(words, same))
+            if terms[0] in index.stopwords:
+                return None
+            if not stemmed:
+                return may(same) & text.has_any(words, same)
+            wanted = filed(index, f, terms[0])
+            near = stem.common(wanted)
+            group = same if len(same) > 1 else []
+            like = F.when(may([near]), F.filter(words, lambda w: w.startswith(near)))
+            by_stem = F.coalesce(F.array_contains(like, wanted) | F.array_contains(stem.stems(like), wanted), F.lit(False))
+            return by_stem | (may(group) & text.has_any(words, group)) if group else may([near]) & by_stem
         node = Node("phrase", (), (node.value, 0))
     if node.kind == "phrase":
         terms = [w for w in text.words_of(node.value[0]) if w not in index.stopwords]
-        return where([max(terms, key=len)], text.has_phrase(words, terms, node.value[1])) if terms else F.lit(False)
+        if not terms:
+            return F.lit(False)
+        longest = max(terms, key=len)
+        if stemmed:
+            held = may([stem.common(longest)])
+            return held & stem.has_phrase(F.when(held, words), terms, node.value[1])
+        return may([longest]) & text.has_phrase(words, terms, node.value[1])
     if node.kind == "affix":
-        return where([node.value[1]], text.has_affix(words, *node.value))
+        kind, part = node.value
+        if not stemmed:
+            return may([part]) & text.has_affix(words, kind, part)
+        if kind == "prefix":  # a stem begins like its word, but for two letters
+            held = may([stem.common(part)])
+            like = F.when(held, F.filter(words, lambda w: w.startswith(stem.common(part))))
+            return held & F.coalesce(text.has_affix(like, kind, part) | text.has_affix(stem.stems(like), kind, part), F.lit(False))
+        return text.has_affix(words, kind, part) | text.has_affix(stem.stems(words), kind, part)
     if node.kind == "glob":
-        return text.has_glob(words, node.value)
+        return text.has_glob(words, node.value) | text.has_glob(stem.stems(words), node.value) if stemmed else text.has_glob(words, node.value)
     raise ValueError(f"{node.kind} doesn't go with text")
 
 
@@ -309,11 +349,30 @@ def _one(scorer: str, tf: Column, n: Column, df_: Column, length: Column, mean:
     raise ValueError(f"unknown scorer {scorer}")
 
 
+def _lookups(index: Index, fields: list[Field], terms: dict) -> list[tuple[Field, str, str, float]]:
+    """(field, kind, term, weight): the query's terms as each field has them, and the marks of their synonym groups."""
+    out = []
+    for f in fields:
+        for (of, kind, t), w in terms.items():
+            if of not in (None, f.name):
+                continue
+            out.append((f, kind, filed(index, f, t) if kind == "exact" else t, w))
+            out += [(f, "exact", f" {k}", w) for k, group in enumerate(index.synonyms) if kind == "exact" and t in group]
+    return out
+
+
+def _hints(index: Index, f: Field, term: str) -> list[str]:
+    """Of a text that has the term, what its characters hold, one of these at least."""
+    if term.startswith(" "):
+        return sorted(index.synonyms[int(term)])
+    return [stem.common(term)] if index.stemmed(f) else [term]
+
+
 def _exact_scores(df: DataFrame, index: Index, terms: dict, scorer: str) -> DataFrame:
     """For whole words: one pass gives the corpus statistics as one row, another scores by themselves the documents whose
     texts may hold a word. Nothing is shuffled but that row."""
     fields = [f for f in index.fields if f.kind == TEXT and not f.noindex]
-    wanted = [(f, t, w) for f in fields for (of, _, t), w in terms.items() if of in (None, f.name)]
+    wanted = [(f, t, w) for f, _, t, w in _lookups(index, fields, terms)]
     admitted = admit(df, index)
 
     def count(f: Field, term: str) -> Column:
@@ -321,6 +380,7 @@ def _exact_scores(df: DataFrame, index: Index, terms: dict, scorer: str) -> Data
 
     def counted(rows: DataFrame) -> DataFrame:
         rows = rows.select("__key", *(tokens(index, f).alias(f"__words_{f.name}") for f in fields))
+        rows = rows.select("__key", *(postings(index, f, F.col(f"__words_{f.name}")).alias(f"__words_{f.name}") for f in fields))
         return rows.select("__key", *(F.size(f"__words_{f.name}").cast("double").alias(f"__length_{f.name}") for f in fields), *(count(f, t).alias(f"__tf_{k}") for k, (f, t, _) in enumerate(wanted)))
 
     stats = counted(admitted).agg(
@@ -329,7 +389,7 @@ def _exact_scores(df: DataFrame, index: Index, terms: dict, scorer: str) -> Data
         *(F.sum((F.col(f"__tf_{k}") > 0).cast("double")).alias(f"__df_{k}") for k in range(len(wanted))),
     )
     any_ = lambda tests: functools.reduce(lambda a, b: a | b, tests, F.lit(False))
-    may = any_(F.coalesce(text.may_hold(value(index, f), [t for g, t, _ in wanted if g is f]), F.lit(False)) for f in fields if any(g is f for g, _, _ in wanted))
+    may = any_(F.coalesce(text.may_hold(value(index, f), [p for g, t, _ in wanted if g is f for p in _hints(index, f, t)]), F.lit(False)) for f in fields if any(g is f for g, _, _ in wanted))
 
     def part(k: int, f: Field, weight: float) -> Column:
         tf = F.col(f"__tf_{k}")
@@ -347,20 +407,21 @@ def _pattern_scores(df: DataFrame, index: Index, terms: dict, scorer: str) -> Da
     docs = admit(df, index)
     spark = df.sparkSession
     fields = [f for f in index.fields if f.kind == TEXT and not f.noindex]
+    lookups = _lookups(index, fields, terms)
     words = None
     for f in fields:
-        one = docs.select("__key", F.lit(f.name).alias("field"), F.lit(f.weight).alias("field_weight"), tokens(index, f).alias("words"))
+        one = docs.select("__key", F.lit(f.name).alias("field"), F.lit(f.weight).alias("field_weight"), tokens(index, f).alias("words")).withColumn("words", postings(index, f, F.col("words")))
         words = one if words is None else words.unionByName(one)
     lengths = words.filter(F.size("words") > 0).groupBy("field").agg(F.avg(F.size("words")).alias("mean"))
     total = docs.agg(F.count("__key").cast("double").alias("docs"))
 
     def wanted(w: Column) -> Column:
-        tests = [w == t if k == "exact" else {"prefix": w.startswith, "suffix": w.endswith, "infix": w.contains}[k](t) for _, k, t in terms]
+        tests = [w == t if k == "exact" else ~w.startswith(" ") & {"prefix": w.startswith, "suffix": w.endswith, "infix": w.contains}[k](t) for _, k, t, _ in lookups]
         return functools.reduce(lambda a, b: a | b, tests, F.lit(False))
 
     hits = words.select("__key", "field", "field_weight", F.size("words").cast("double").alias("length"), F.explode(F.filter("words", wanted)).alias("term")).groupBy("__key", "field", "field_weight", "length", "term").agg(F.count("term").cast("double").alias("tf"))
-    table = spark.createDataFrame([(f, k, t, float(w)) for (f, k, t), w in terms.items()] or [(None, "exact", "", 0.0)], "of string, kind string, pattern string, weight double")
-    cond = (F.col("of").isNull() | (F.col("of") == F.col("field"))) & F.when(F.col("kind") == "exact", F.col("term") == F.col("pattern")).when(F.col("kind") == "prefix", F.col("term").startswith(F.col("pattern"))).when(F.col("kind") == "suffix", F.col("term").endswith(F.col("pattern"))).otherwise(F.col("term").contains(F.col("pattern")))
+    table = spark.createDataFrame([(f.name, k, t, float(w)) for f, k, t, w in lookups] or [("", "exact", "", 0.0)], "of string, kind string, pattern string, weight double")
+    cond = (F.col("of") == F.col("field")) & F.when(F.col("kind") == "exact", F.col("term") == F.col("pattern")).when(F.col("term").startswith(" "), F.lit(False)).when(F.col("kind") == "prefix", F.col("term").startswith(F.col("pattern"))).when(F.col("kind") == "suffix", F.col("term").endswith(F.col("pattern"))).otherwise(F.col("term").contains(F.col("pattern")))
     hits = hits.join(F.broadcast(table), cond)  # the query's few patterns, each against the few terms that some pattern matched
     by_term = hits.groupBy("field", "term").agg(F.countDistinct("__key").cast("double").alias("df"))
     hits = hits.join(F.broadcast(lengths), "field").join(by_term, ["field", "term"]).crossJoin(F.broadcast(total))  # one row

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 #: The words that a text field leaves out by default.
 STOPWORDS = frozenset("a is the an and are as at be but by for if in into it no not of on or such that their then there these they this to was will with".split())
@@ -23,6 +23,7 @@ class Field:
     dim: int | None = None
     noindex: bool = False
     multi: bool = False
+    no_stem: bool = False
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,15 @@ class Index:
     synonyms: tuple[frozenset[str], ...] = ()
     prefix: str = ""
     document: str | None = None
+    #: ``english`` texts are found by stems too, but for fields with ``no_stem``; None leaves stems out.
+    language: str | None = "english"
+
+    def __post_init__(self):
+        if self.language not in (None, "english", "en", "eng"):
+            raise ValueError(f"no stems of language {self.language}")
+
+    def stemmed(self, f: Field) -> bool:
+        return self.language is not None and not f.no_stem
 
     def field(self, name: str) -> Field:
         for f in self.fields:
@@ -43,4 +53,4 @@ class Index:
         raise KeyError(f"no field {name} in index {self.name}")
 
     def altered(self, *more: Field) -> Index:
-        return Index(self.name, self.key, (*self.fields, *more), self.stopwords, self.synonyms, self.prefix, self.document)
+        return replace(self, fields=(*self.fields, *more))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +22,12 @@ ORACLES: dict[str, str] = {}
 
 ORDERS = Index("orders", "o_orderkey", (Field("status", TAG, "o_orderstatus"), Field("priority", TAG, "o_orderpriority"), Field("price", NUMERIC, "o_totalprice"), Field("cust", NUMERIC, "o_custkey"), Field("at", NUMERIC, "epoch")))
 LINES = Index("lines", "line_key", (Field("order", NUMERIC, "l_orderkey"), Field("part", NUMERIC, "l_partkey"), Field("supp", NUMERIC, "l_suppkey"), Field("qty", NUMERIC, "l_quantity"), Field("price", NUMERIC, "l_extendedprice"), Field("discount", NUMERIC, "l_discount"), Field("tax", NUMERIC, "l_tax"), Field("flag", TAG, "l_returnflag"), Field("status", TAG, "l_linestatus")))
-CUSTOMERS = Index("customers", "c_custkey", (Field("custkey", NUMERIC, "c_custkey"), Field("name", TEXT, "c_name"), Field("nation", NUMERIC, "c_nationkey"), Field("balance", NUMERIC, "c_acctbal"), Field("segment", TAG, "c_mktsegment"), Field("place", GEO, "place")))
+CUSTOMERS = Index("customers", "c_custkey", (Field("custkey", NUMERIC, "c_custkey"), Field("name", TEXT, "c_name"), Field("nation", NUMERIC, "c_nationkey"), Field("balance", NUMERIC, "c_acctbal"), Field("segment", TAG, "c_mktsegment"), Field("place", GEO, "place")), language=None)
 NATIONS = Index("nations", "n_nationkey", (Field("nationkey", NUMERIC, "n_nationkey"), Field("name", TAG, "n_name"), Field("region", NUMERIC, "n_regionkey")))
 REGIONS = Index("regions", "r_regionkey", (Field("regionkey", NUMERIC, "r_regionkey"), Field("name", TAG, "r_name")))
-PARTS = Index("parts", "p_partkey", (Field("type", TAG, "p_type", separator=" "), Field("brand", TAG, "p_brand"), Field("size", NUMERIC, "p_size"), Field("price", NUMERIC, "p_retailprice"), Field("name", TEXT, "p_name")))
-DOCS = Index("docs", "doc_id", (Field("text", TEXT), Field("lang", TAG), Field("source", TAG), Field("chars", NUMERIC, "n_chars")))
+PARTS = Index("parts", "p_partkey", (Field("type", TAG, "p_type", separator=" "), Field("brand", TAG, "p_brand"), Field("size", NUMERIC, "p_size"), Field("price", NUMERIC, "p_retailprice"), Field("name", TEXT, "p_name")), language=None)
+DOCS = Index("docs", "doc_id", (Field("text", TEXT), Field("lang", TAG), Field("source", TAG), Field("chars", NUMERIC, "n_chars")), language=None)
+STEMMED = replace(DOCS, name="stemmed", language="english")
 EVENTS = Index("events", "event_id", (Field("type", TAG, "event_type"), Field("user", NUMERIC, "user_id"), Field("value", NUMERIC, "value"), Field("k", NUMERIC, "$.k")), document="props")
 VECTORS = Index("vectors", "vec_id", (Field("v", VECTOR, "embedding", metric="L2", dim=64), Field("label", TAG)))
 PLACE = "concat(((c_custkey*37)%360-180)::VARCHAR, ',', ((c_custkey*17)%170-85)::VARCHAR)"
@@ -45,6 +47,7 @@ class Frames(Mapping):
             "regions": (lambda: t("region"), REGIONS),
             "parts": (lambda: t("part"), PARTS),
             "docs": (lambda: t("documents"), DOCS),
+            "stemmed": (lambda: t("documents"), STEMMED),
             "events": (lambda: t("events"), EVENTS),
             "vectors": (lambda: t("embeddings").withColumn("label", F.col("label").cast("string")), VECTORS),
         }
@@ -194,6 +197,10 @@ found("q_phrase", "docs", '"under the mit license"', "doc_id", "contains(' '||ar
 found("q_phrase_slop", "docs", '"licensed apache version"~2', "doc_id", "regexp_matches(' '||array_to_string(toks,' ')||' ', ' licensed ([^ ]+ ){0,2}apache ([^ ]+ ){0,2}version ')", _DOCS)
 found("q_stopword_drop", "docs", "the license", "doc_id", "list_contains(toks,'license')", _DOCS)
 found("q_optional", "docs", "license ~apache", "doc_id", "list_contains(toks,'license')", _DOCS)
+#: The forms that English has of a verb, in place of a stem.
+_FORMS = "len(list_filter(toks, lambda x: regexp_full_match(x,'{}(e|es|ed|er|ers|ing|ings|able)?')))>0"
+found("q_stem", "stemmed", "@text:licensing", "doc_id", _FORMS.format("licens"), _DOCS)
+found("q_stem_and_not", "stemmed", "released -license", "doc_id", _FORMS.format("releas") + " AND NOT " + _FORMS.format("licens"), _DOCS)
 found("q_json_path", "events", "@k:[10 20] @type:{click|view}", "event_id", "json_extract(props,'$.k')::DOUBLE BETWEEN 10 AND 20 AND event_type IN ('click','view')", "events")
 found("q_match_all", "orders", "*", "o_orderkey", "true", "orders")
 
@@ -248,6 +255,14 @@ _scored("score_bm25_norm", "BM25STD.NORM", f", z AS (SELECT doc_id::VARCHAR AS d
 _scored("score_tfidf", "TFIDF", _SUM.format("round(sum(ln(n/df)*tf),6)"))
 _scored("score_tfidf_docnorm", "TFIDF.DOCNORM", _SUM.format("round(sum(ln(n/df)*tf/len),6)"))
 
+
+
+@query(None)
+def score_bm25_stem(spark, sf):
+    """Stems count in terms and lengths; without SQL, compared with brute force in the tests."""
+    return scores(*frames(spark, sf)["stemmed"], "licenses | permission").select(F.col("__key").alias("doc"), F.round("__score", 6).alias("score"))
+
+
 # --- vectors
 
 _V = "(SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id=0)"
@@ -289,7 +304,7 @@ def vector_range(spark, sf):
     return matching(df, _metric(index, "COSINE"), "@v:[VECTOR_RANGE 0.8 $q]", {"q": query_vector(spark, sf)}).select("vec_id")
 
 
-HYBRID = Index("hybrid", "doc_id", (Field("text", TEXT), Field("v", VECTOR, "embedding", dim=64)))
+HYBRID = Index("hybrid", "doc_id", (Field("text", TEXT), Field("v", VECTOR, "embedding", dim=64)), language=None)
 _HYBRID = f"""{_BM25}, x AS (SELECT doc_id::VARCHAR AS k, sum({_BM25_ONE}) AS score FROM h JOIN df USING (term), s WHERE term='license' GROUP BY 1),
 near AS (SELECT vec_id::VARCHAR AS k, {_DISTANCE["L2"]} AS dist FROM embeddings, {_V} WHERE vec_id IN (SELECT doc_id FROM documents) ORDER BY dist, k LIMIT 20),
 sim AS (SELECT k, 1/(1+dist*dist) AS similarity FROM near)"""
