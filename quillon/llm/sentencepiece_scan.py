@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Scratch, batch
+from .tables import Scratch, batch, spans
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 32768
@@ -28,8 +28,12 @@ SPACE = "▁"
 #: Stands for a space mark that the text itself has; no valid text has a lone surrogate.
 OWN = "\ud800"
 NONE = -1e30
-#: Words whose ids a worker keeps.
-CACHED = 500_000
+#: Characters of the words whose scores or ids a worker keeps.
+CACHED = 3_000_000
+#: Characters of short texts that are encoded at once.
+RUN = 1 << 17
+#: Words up to this length are segmented together, longer ones one by one.
+SHORT = 64
 #: What a character in no piece costs more than the worst piece (fixed value of the model type).
 UNKNOWN_COST = 10.0
 
@@ -98,7 +102,10 @@ class Vocabulary:
         # where words begin, if no piece goes on past one; characters that are in no longer piece are words of their own
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in spanned)
         self.words = re.compile((f"[{alone}]|" if alone else "") + (f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if not marks_inside else f"[^{alone}]+"), re.S)
-        self.cache: dict[str, tuple[float, bytes]] = {}
+        #: Words' scores and words' ids, as far as they are kept, and the characters of both.
+        self.kept: tuple[dict[str, float], dict[str, bytes]] = {}, {}
+        self.held = 0
+        self.trie: tuple | None = None
 
     def forward(self, s: str, start: int, end: int) -> tuple[list[float], list[int]]:
         """Best score from ``start`` to each place up to ``end``, and where its last piece begins. Pieces begin before
@@ -133,19 +140,123 @@ class Vocabulary:
         return [x for part in reversed(out) for x in part]
 
     def word(self, w: str) -> tuple[float, bytes]:
-        hit = self.cache.get(w)
-        if hit is None:
-            best, via = self.forward(w, 0, len(w))
-            hit = best[len(w)], np.array(self.ids(w, via, 0, len(w)), np.int32).tobytes()
-            if len(self.cache) >= CACHED:
-                self.cache.clear()
-            self.cache[w] = hit
-        return hit
+        best, via = self.forward(w, 0, len(w))
+        return best[len(w)], np.array(self.ids(w, via, 0, len(w)), np.int32).tobytes()
+
+    def tables(self) -> tuple:
+        """The trie of the pieces as arrays: a code point's letter (from 1; 0 is in no piece), a letter's node below the
+        root, steps as sorted numbers node * letters + letter and where they lead, and each node's score and id (-1: no
+        piece); node 0 is none."""
+        if self.trie is None:
+            names = sorted(self.prefix, key=len)
+            node = {p: k for k, p in enumerate(names, 1)}
+            letter = {c: k for k, c in enumerate(sorted({c for p in names for c in p}), 1)}
+            letters = np.zeros(0x110000, np.int32)
+            letters[[ord(c) for c in letter]] = list(letter.values())
+            root = np.zeros(len(letter) + 1, np.int64)
+            root[[letter[p] for p in names if len(p) == 1]] = [node[p] for p in names if len(p) == 1]
+            longer = [p for p in names if len(p) > 1]
+            steps = np.array([node[p[:-1]] * len(root) + letter[p[-1]] for p in longer], np.int64)
+            leads = np.array([node[p] for p in longer], np.int64)
+            order = np.argsort(steps)
+            hits = [(0.0, -1), *(self.prefix[p] or (0.0, -1) for p in names)]
+            self.trie = letters, root, np.append(steps[order], 1 << 62), np.append(leads[order], 0), np.array([s for s, _ in hits]), np.array([k for _, k in hits], np.int64)
+        return self.trie
+
+    def segment(self, words: list[str]) -> tuple[list[float], list[bytes]]:
+        """Scores and ids of words as ``word`` finds them, for all at once: the trie is walked from every place together,
+        then pieces that begin k characters into their word are weighed together, for each k in turn."""
+        letters, root, steps, leads, scores, pieces = self.tables()
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends, n, m = np.cumsum(sizes), len(codes), len(words)
+        # a word of k characters has k + 1 places, and a character comes after the place of its index plus its word's
+        depth = np.arange(n) - np.repeat(ends - sizes, sizes)
+        left, place = np.repeat(sizes, sizes) - depth, np.arange(n) + np.repeat(np.arange(m), sizes)
+        letter = letters[codes]
+        at, node = np.arange(n), root[letter]
+        unknown = pieces[node] < 0
+        found = [(at, np.where(unknown, self.unknown_score, scores[node]), pieces[node])]
+        while True:
+            size = len(found) + 1
+            go = np.flatnonzero((node > 0) & (left[at] >= size))
+            if not len(go):
+                break
+            at = at[go]
+            step = node[go] * len(root) + letter[at + size - 1]
+            to = np.searchsorted(steps, step)
+            go = np.flatnonzero(steps[to] == step)
+            at, node = at[go], leads[to[go]]
+            hit = np.flatnonzero(pieces[node] >= 0)
+            found.append((at[hit], scores[node[hit]], pieces[node[hit]]))
+        start, score, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        size = np.repeat(np.arange(1, len(found) + 1), [len(x[0]) for x in found])
+        begun = depth[start].astype(np.uint16)
+        order = np.argsort(begun, kind="stable")
+        bounds = np.cumsum(np.bincount(begun))
+        origin, score, piece, size = place[start[order]], score[order], piece[order], size[order]
+        best, via = np.full(n + m, NONE), np.zeros(n + m, np.int64)
+        first, last = ends - sizes + np.arange(m), ends + np.arange(m)
+        best[first] = 0.0
+        for i, j in zip([0, *bounds[:-1].tolist()], bounds.tolist(), strict=True):
+            to = origin[i:j] + size[i:j]
+            total = best[origin[i:j]] + score[i:j]
+            better = np.flatnonzero(total > best[to])  # pieces from one place end at different ones
+            best[to[better]], via[to[better]] = total[better], better + i
+        begins, on = np.zeros(n + m, bool), np.zeros(n + m, bool)
+        begins[first] = True
+        back = last
+        while len(back):
+            on[back] = True
+            back = origin[via[back]]
+            back = back[~begins[back]]
+        path = np.flatnonzero(on)
+        ids, counts = piece[via[path]], np.ones(len(path), np.int64)
+        # a character in no piece is given as its bytes, if the vocabulary has those
+        bare = np.flatnonzero(ids < 0)
+        ids[bare] = self.unknown
+        word = np.searchsorted(last, path)
+        if len(bare) and any(self.byte):
+            lone = codes[path[bare] - word[bare] - 1]
+            lone = np.where(lone == ord(OWN), ord(SPACE), lone).astype(np.uint32)
+            counts[bare] = 1 + (lone > 0x7F) + (lone > 0x7FF) + (lone > 0xFFFF)
+            inside = np.zeros(len(path), bool)
+            inside[bare] = True
+            ids = np.repeat(ids, counts)
+            ids[np.repeat(inside, counts)] = np.array(self.byte)[np.frombuffer(lone.tobytes().decode("utf-32-le").encode(), np.uint8)]
+        raw = ids.astype(np.int32).tobytes()
+        cuts = (4 * np.cumsum(np.bincount(word, counts, m))).astype(np.int64).tolist()
+        return best[last].tolist(), [raw[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+    def known(self, words: list[str], what: int) -> list:
+        """Each word's score (``what`` 0) or ids (1)."""
+        kept = self.kept[what]
+        new = set(words).difference(kept)
+        if new:
+            if self.held + sum(map(len, new)) > CACHED:
+                for x in self.kept:
+                    x.clear()
+                self.held, new = 0, set(words)
+            self.held += sum(map(len, new))
+            together = [w for w in new if len(w) <= SHORT]
+            if together:
+                kept.update(zip(together, self.segment(together)[what], strict=True))
+            if len(together) < len(new):
+                kept.update((w, self.word(w)[what]) for w in new if len(w) > SHORT)
+        return list(map(kept.__getitem__, words))
 
     def encode(self, s: str) -> bytes:
         """Ids (32 bits each) of a prepared text that begins and ends on a boundary."""
-        word, get = self.word, self.cache.get
-        return b"".join([(get(w) or word(w))[1] for w in self.words.findall(s)])
+        return b"".join(self.known(self.words.findall(s), 1))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """``encode`` of each text."""
+        words, cuts = [], [0]
+        for s in texts:
+            words += self.words.findall(s)
+            cuts.append(len(words))
+        ids = self.known(words, 1)
+        return [b"".join(ids[i:j]) for i, j in zip(cuts, cuts[1:])]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the mark that encoding puts first goes."""
@@ -166,7 +277,7 @@ class Vocabulary:
         tail, _ = self.forward(s, max(last, 0), n)
         exits = np.array([tail[n + j] if n + j <= len(s) else NONE for j in range(size)])
         if first >= 0:
-            middle = sum(self.word(w)[0] for w in self.words.findall(s[first:last]))
+            middle = sum(self.known(self.words.findall(s[first:last]), 0))
             exits = np.where(exits > NONE, exits + middle, NONE)
             for i in range(min(size, first + 1)):
                 head = self.forward(s[:first], i, first)[0][first]
@@ -273,11 +384,12 @@ def encode(docs: DataFrame, model: str = MODEL, *, chunk: int = CHUNK) -> DataFr
         for b in batches:
             out: list[list] = [[] for _ in _IDS]
             n = 0
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = v.encode(prepared(text))
-                for c, x in zip(out, (doc_id, text, 0, 1, 0, ids, 0, ""), strict=True):
-                    c.append(x)
-                n += len(ids)
+            texts = b.column(1).to_pylist()
+            for i, j in spans(np.array([len(x or "") for x in texts]), RUN):
+                for doc_id, text, ids in zip(b.column(0)[i:j].to_pylist(), texts[i:j], v.encode_all([prepared(x) for x in texts[i:j]]), strict=True):
+                    for c, x in zip(out, (doc_id, text, 0, 1, 0, ids, 0, ""), strict=True):
+                        c.append(x)
+                    n += len(ids)
                 if n > 1 << 22:
                     yield batch(_IDS, *out)
                     out, n = [[] for _ in _IDS], 0

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import brute
@@ -189,6 +190,40 @@ def test_sentencepiece_against_library():
         assert np.frombuffer(v.encode(sentencepiece_scan.prepared(t)), np.int32).tolist() == library.encode(t)
 
 
+def test_sentencepiece_words_together():
+    """Words segmented together have the scores and ids of each by itself."""
+    v, rng = sentencepiece_scan.Vocabulary(open(sentencepiece_scan.MODEL, "rb").read()), random.Random(3)
+    odd = "abc▁\ud800 \n\t日本語é😀𝔘xyz中\x00漢🤖нет"
+    odd = list({"".join(rng.choices(odd, k=rng.randint(1, 80))) for _ in range(1000)} | {"▁" * 70, "a" * 200})
+    alone = [v.word(w) for w in odd]
+    assert [*map(list, zip(*alone, strict=True))] == [*v.segment(odd)] == [v.known(odd, 0), v.known(odd, 1)]
+
+
+def test_sentencepiece_unseen_words_cost():
+    """Words that no text had before take less CPU time than one by one, for the same ids."""
+    v, rng = sentencepiece_scan.Vocabulary(open(sentencepiece_scan.MODEL, "rb").read()), random.Random(3)
+    words = list({"▁" + "".join(rng.choices("abcdefghilmnoprstuvéß", k=rng.randint(4, 14))) for _ in range(30_000)})
+    v.encode("".join(w[::-1] for w in words[:10_000]))  # builds the tables
+    at = [time.process_time()]
+    got = v.encode("".join(words))
+    at.append(time.process_time())
+    alone = b"".join(np.array(v.ids(w, v.forward(w, 0, len(w))[1], 0, len(w)), np.int32).tobytes() for w in words)
+    at.append(time.process_time())
+    assert got == alone and at[1] - at[0] < 0.75 * (at[2] - at[1])
+
+
+def test_sentencepiece_kept_words(monkeypatch):
+    """Ids don't depend on which words a worker still keeps, of which there are never more characters than the bound."""
+    v, rng = sentencepiece_scan.Vocabulary(open(sentencepiece_scan.MODEL, "rb").read()), random.Random(4)
+    texts = [sentencepiece_scan.prepared(" ".join("".join(rng.choices("abeinorst", k=rng.randint(1, 6))) for _ in range(60))) for _ in range(40)]
+    whole = v.encode_all([*texts, "", texts[0]])
+    monkeypatch.setattr(sentencepiece_scan, "CACHED", 700)
+    v = sentencepiece_scan.Vocabulary(open(sentencepiece_scan.MODEL, "rb").read())
+    for t, ids in zip(texts, whole, strict=False):
+        assert v.encode(t) == ids and sum(len(w) for x in v.kept for w in x) == v.held <= 700
+    assert whole[-2:] == [b"", whole[0]]
+
+
 def test_language(docs, spark):
     one = [(k, " ".join(random.choices(["the", "thing", "other", "then"], k=30)), "en") for k in range(40)]
     two = [(100 + k, " ".join(random.choices(["über", "schön", "straße"], k=30)), "de") for k in range(40)]
