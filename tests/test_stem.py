@@ -1,12 +1,16 @@
 """English stems, and searches by them against brute force."""
 
 import math
+import random
 import re
+import tracemalloc
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 
+from quillon.functions import stem as stemming
 from quillon.functions.stem import common, stem
 from quillon.operators.search import matching, scores
 from quillon.plans.schema import STOPWORDS, TEXT, Field, Index
@@ -113,3 +117,41 @@ def test_scores_of_documents(spark):
     want = bm25(rows, [stem("licenses"), stem("permission")])
     got = {r.doc: r.score for r in QUERIES["score_bm25_stem"](spark, sf).collect()}
     assert got == pytest.approx(want, abs=1e-6) and got
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 1 << 18])
+def test_stretches_run_across_rows(monkeypatch, stretch):
+    monkeypatch.setattr(stemming, "STRETCH", stretch)
+    deal = random.Random(7)
+    some = ["learning", "learned", "learn", "machines", "machin", "fast", "by", "é", "dog's"]
+    rows = [None, [], *([deal.choice(some) for _ in range(deal.choice([0, 1, 2, 5, 9]))] for _ in range(300)), [], None]
+    batch = pa.array([["machines", "learning"], *rows, ["learned"]], pa.list_(pa.string())).slice(1, len(rows))
+    terms = ["learn", "machin", "by"]
+    changed = [[stem(w) for w in ws or [] if stem(w) != w] for ws in rows]
+    assert stemming._stemmed(batch).to_pylist() == [None if ws is None else [stem(w) for w in ws] for ws in rows]
+    assert stemming._tallied(batch, terms).to_pylist() == [[len(c), *map(c.count, terms)] for c in changed]
+    assert stemming._stemmed(batch.slice(0, 1)).to_pylist() == [None] and stemming._tallied(batch.slice(1, 1), terms).to_pylist() == [[0, 0, 0, 0]]
+    for slop in (0, 2):
+        for phrase in (["learn"], ["learn", "machin"], ["machin", "learn", "learn"]):
+            want = []
+            for ws in rows:
+                reached = None
+                for t in phrase:
+                    places = [i for i, w in enumerate(ws or []) if t in (w, stem(w))]
+                    reached = places if reached is None else [p for p in places if any(0 < p - q <= slop + 1 for q in reached)]
+                want.append(bool(reached))
+            assert stemming._phrases(batch, phrase, slop) == want
+
+
+def test_memory_is_that_of_a_stretch_not_of_a_batch():
+    """Two million words of a batch would take 100 MB as Python's own."""
+    words = [f"{a}a{b}ing" for a in "bcdfg" for b in range(2000)]
+    batch = pa.ListArray.from_arrays(pa.array(range(0, 2_000_001, 500), pa.int32()), pa.array(words * 200))
+    tracemalloc.start()
+    try:
+        out = stemming._tallied(batch, [stem("ba1ing")])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(out) == 4000 and sum(out.flatten().to_pylist()) == 2_000_000 + 200
+    assert peak < 40e6
